@@ -1,0 +1,28 @@
+"""Seeded normal vectors. A value depends on (row id, position, seed, stream) only, so
+repartitioning or recomputing a lost task gives the same table."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+VECTOR_STREAM = 0
+QUERY_STREAM = 1
+
+
+def _uniform(*keys: Column) -> Column:
+    """Uniform on (0, 1] with 52 random bits."""
+    return (F.shiftrightunsigned(F.xxhash64(*keys), 12) + 1) / F.lit(float(1 << 52))
+
+
+def normal_vector(row_id: Column, dim: int, seed: int, stream: int = VECTOR_STREAM) -> Column:
+    """``dim`` independent N(0,1) components (Box-Muller)."""
+
+    def draw(j: Column) -> Column:
+        radius = F.sqrt(-2.0 * F.ln(_uniform(row_id, j, F.lit(seed), F.lit(2 * stream))))
+        angle = 2.0 * math.pi * _uniform(row_id, j, F.lit(seed), F.lit(2 * stream + 1))
+        return radius * F.cos(angle)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw)
