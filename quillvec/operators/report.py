@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.functions.display import fixed, round_half_even
@@ -71,25 +71,40 @@ def summary_display(summary: DataFrame) -> DataFrame:
     )
 
 
-def _best(results: DataFrame, criterion: str, metric: str, largest: bool) -> DataFrame:
-    """The row with the best metric, the earliest run on ties; NaN and null do not compete."""
-    ranked = results.filter(F.col(metric).isNotNull() & ~F.isnan(metric))
-    row = F.struct("library", "index_type", "dimension", F.col(metric).alias("value"), "run_no")
-    pick = (
-        F.max_by(row, F.struct(F.col(metric), -F.col("run_no")))
-        if largest
-        else F.min_by(row, F.struct(F.col(metric), F.col("run_no")))
-    )
-    best = ranked.agg(pick.alias("best")).filter(F.col("best").isNotNull())
-    return best.select(F.lit(criterion).alias("criterion"), "best.*")
+def _picks(results: DataFrame, wanted: Sequence[tuple[str, str, bool, Column]]) -> DataFrame:
+    """Per ``(criterion, metric, largest, condition)`` the row with the best metric.
+
+    The earliest run wins ties; NaN and null do not compete; a criterion without candidates has
+    no row. All criteria share one pass over the table.
+    """
+    picks = []
+    for criterion, metric, largest, condition in wanted:
+        competes = condition & F.col(metric).isNotNull() & ~F.isnan(metric)
+        row = F.struct(
+            F.lit(criterion).alias("criterion"),
+            "library",
+            "index_type",
+            "dimension",
+            F.col(metric).alias("value"),
+            "run_no",
+        )
+        run = -F.col("run_no") if largest else F.col("run_no")
+        rank = F.when(competes, F.struct(F.col(metric), run))  # a null rank is passed over
+        picks.append(F.max_by(row, rank) if largest else F.min_by(row, rank))
+    best = results.agg(F.array(*picks).alias("best")).select(F.explode("best").alias("best"))
+    return best.filter(F.col("best").isNotNull()).select("best.*")
 
 
 def best_performers(results: DataFrame) -> DataFrame:
-    return (
-        _best(results, "fastest build", "build_time", False)
-        .unionByName(_best(results, "fastest query", "query_time_avg", False))
-        .unionByName(_best(results, "highest throughput", "throughput_qps", True))
-        .unionByName(_best(results, "lowest memory", "memory_usage_mb", False))
+    everyone = F.lit(True)
+    return _picks(
+        results,
+        [
+            ("fastest build", "build_time", False, everyone),
+            ("fastest query", "query_time_avg", False, everyone),
+            ("highest throughput", "throughput_qps", True, everyone),
+            ("lowest memory", "memory_usage_mb", False, everyone),
+        ],
     )
 
 
@@ -97,12 +112,14 @@ def recommendations(
     results: DataFrame, production: Sequence[str] = PRODUCTION, research: Sequence[str] = RESEARCH
 ) -> DataFrame:
     """Best library per purpose; a purpose without candidates has no row."""
-    return (
-        _best(in_libraries(results, production), "production", "throughput_qps", True)
-        .unionByName(_best(in_libraries(results, research), "research", "query_time_avg", False))
-        .unionByName(_best(results, "memory-constrained", "memory_usage_mb", False))
-        .drop("value", "run_no")
-    )
+    return _picks(
+        results,
+        [
+            ("production", "throughput_qps", True, F.col("library").isin(*production)),
+            ("research", "query_time_avg", False, F.col("library").isin(*research)),
+            ("memory-constrained", "memory_usage_mb", False, F.lit(True)),
+        ],
+    ).drop("value", "run_no")
 
 
 def boxplot_stats(results: DataFrame, metric: str = "query_time_avg", by: str = "library") -> DataFrame:
@@ -135,9 +152,10 @@ def boxplot_stats(results: DataFrame, metric: str = "query_time_avg", by: str =
 
 def scaling_series(results: DataFrame) -> DataFrame:
     """Query time against dimension per library, libraries and points in order of appearance."""
-    first = F.min("run_no").over(Window.partitionBy("library"))
+    first = results.groupBy("library").agg(F.min("run_no").alias("first_run"))
     return (
-        results.select("library", "dimension", "query_time_avg", "run_no", first.alias("first_run"))
+        results.select("library", "dimension", "query_time_avg", "run_no")
+        .join(first, "library")
         .orderBy("first_run", "run_no")
         .drop("first_run")
     )

@@ -29,7 +29,9 @@ def distance_row(query: Column, vectors: DataFrame, metric: str = "l2") -> DataF
     ``query`` is an array column: a literal or a scalar subquery.
     """
     measure = {"l2": euclidean, "ip": inner_product}[metric]
-    return vectors.select("vec_id", measure(query, F.col("embedding")).alias("distance"))
+    # The query is a column of its own first: lambdas may not contain subqueries.
+    paired = vectors.select("vec_id", "embedding", query.alias("__query"))
+    return paired.select("vec_id", measure(F.col("__query"), F.col("embedding")).alias("distance"))
 
 
 def argsort_head(distances: DataFrame, k: int = max(K_VALUES)) -> DataFrame:
