@@ -17,11 +17,14 @@ def seconds_to_minutes(seconds: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    def scaled(unit: float, name: str) -> Column:
+        return F.concat(fixed(size / F.lit(unit), 2), F.lit(f" {name}"))
+
     return (
         F.when(size < KB, F.format_string("%d bytes", size))
-        .when(size < KB**2, F.format_string("%.2f KB", size / F.lit(KB)))
-        .when(size < KB**3, F.format_string("%.2f MB", size / F.lit(KB**2)))
-        .otherwise(F.format_string("%.2f GB", size / F.lit(KB**3)))
+        .when(size < KB**2, scaled(KB, "KB"))
+        .when(size < KB**3, scaled(KB**2, "MB"))
+        .otherwise(scaled(KB**3, "GB"))
     )
 
 
@@ -34,7 +37,13 @@ def thousands(count: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", value)
+    """A number with ``places`` decimals, exact ties to even.
+
+    Nine decimals are kept before rounding, so that the order in which a mean was summed does
+    not decide a tie.
+    """
+    exact = value.try_cast("decimal(38,9)")
+    return F.coalesce(F.bround(exact, places).cast("string"), value.cast("string"))
 
 
 def round_half_even(value: Column, places: int = 4) -> Column:

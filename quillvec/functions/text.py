@@ -19,12 +19,19 @@ MAX_CHARS = 500_000
 
 
 def normalize_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    """CRLF and lone CR become LF. Texts without CR, the usual case, are not rewritten."""
+    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when(F.contains(text, F.lit("\r")), lf).otherwise(text)
 
 
 def within_length(text: Column, low: int = MIN_CHARS, high: int = MAX_CHARS) -> Column:
-    """Strictly between both bounds, in code points."""
-    return (F.length(text) > low) & (F.length(text) < high)
+    """Strictly between both bounds, in code points.
+
+    A code point takes 1 to 4 bytes, so the byte length, which is stored, decides most texts
+    without counting.
+    """
+    size = F.octet_length(text)
+    return ((size > 4 * low) | (F.length(text) > low)) & ((size < high) | (F.length(text) < high))
 
 
 def has_nul(text: Column) -> Column:
@@ -32,7 +39,8 @@ def has_nul(text: Column) -> Column:
 
 
 def is_usable_text(text: Column) -> Column:
-    return within_length(text) & ~has_nul(text)
+    """Both rules with the text bound once: a filter evaluates an expression per condition."""
+    return F.exists(F.array(text), lambda t: within_length(t) & ~has_nul(t))
 
 
 def content_hash(text: Column) -> Column:
@@ -74,6 +82,9 @@ def repo_of(relative: Column) -> Column:
 
 
 def tokens(text: Column, limit: int) -> Column:
-    """The first ``limit`` whitespace-separated tokens."""
-    words = F.filter(F.split(text, r"\s+"), lambda word: word != "")
+    """The first ``limit`` whitespace-separated tokens.
+
+    Splitting stops behind them: one part more for what is left, one for a leading blank.
+    """
+    words = F.filter(F.split(text, r"\s+", limit + 2), lambda word: word != "")
     return F.slice(words, 1, limit)

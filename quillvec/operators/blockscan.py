@@ -235,19 +235,19 @@ def block_topk(
 def _broadcast_scan(probes: Probes, vectors: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
     if probes.parts is not None and not _is_array(vectors, "part"):
         vectors = vectors.filter(F.col("part").isin(sorted(probes.parts)))  # prunes a table stored by part
-    shared = vectors.sparkSession.sparkContext.broadcast(probes)
+    # Plain arrays: broadcast values are pickled by reference to their class.
+    shared = vectors.sparkSession.sparkContext.broadcast((probes.query_ids, probes.queries, probes.parts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        best = BlockTopK(known.query_ids, known.queries, k, metric)
+        query_ids, queries, visits = shared.value
+        best = BlockTopK(query_ids, queries, k, metric)
         for batch in batches:
             rows, values = matrix_of(batch["embedding"], dim)
             if len(rows) == 0:
                 continue
             groups = None
-            if known.parts is not None:
-                met = _by_part(batch["part"], rows)
-                groups = [(known.parts[part], at) for part, at in met if part in known.parts]
+            if visits is not None:
+                groups = [(visits[part], at) for part, at in _by_part(batch["part"], rows) if part in visits]
                 if not groups:
                     continue
             best.add(batch["vec_id"].to_numpy()[rows], values, groups)

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from quillvec.functions import display, text, vector
 from quillvec.operators import chunking, corpus, embedding, ivf, lsh, ordinal, recall, report, search, verify
 from quillvec.plans import sweep
-from quillvec.plans.corpus import chunk_table
 from quillvec.session import scratch_path
 from quillvec.sources import files as sources
 from quillvec.sources import repos, results, vectors
+from quillvec.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,7 +113,10 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def usable_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = source_files(spark, folder)
+    return _usable(source_files(spark, folder))
+
+
+def _usable(files: DataFrame) -> DataFrame:
     return corpus.usable_contents(files.withColumn("content", text.normalize_newlines(F.col("content"))))
 
 
@@ -121,6 +124,12 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_lines(usable_files(spark, folder).select("doc_id", "repo_name", "path", "content"))
 
 
+def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token-bounded chunks; a small table is spread first, because the encoder is CPU-heavy."""
+    files = spread(source_files(spark, folder).select("doc_id", "content"), "doc_id")
+    return chunking.truncate_tokens(chunking.chunk_lines(_usable(files))).select("doc_id", "chunk_no", "tokens")
+
+
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """One clone outcome per source, its status by the source's number."""
     number = F.regexp_extract("repo_name", "[0-9]+", 0).cast("int")
@@ -334,24 +343,22 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
-    cut = chunking.truncate_tokens(document_chunks(spark, folder))
-    return cut.select(
+    return document_tokens(spark, folder).select(
         "doc_id", "chunk_no", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_hash")
     )
 
 
 @query
 def embed_batches(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunking.truncate_tokens(document_chunks(spark, folder)).select("doc_id", "chunk_no", "tokens")
-    done = embedding.embedded(embedding.embed(chunks, embedding.HashingEncoder(HASH_DIM), HASH_DIM))
+    tokens = document_tokens(spark, folder)
+    done = embedding.embedded(embedding.embed(tokens, embedding.HashingEncoder(HASH_DIM), HASH_DIM))
     used = F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used")
     return done.select("doc_id", "chunk_no", used, weighted_bits("embedding", "weighted"))
 
 
 @query
 def embed_hashing(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunk_table(usable_files(spark, folder).select("doc_id", "path", "content")).select("doc_id", "chunk_no", "tokens")
-    done = embedding.embed_hashing(chunks, 64)
+    done = embedding.embed_hashing(document_tokens(spark, folder), 64)
     return done.select("doc_id", "chunk_no", F.round(vector.inner_product(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))
 
 

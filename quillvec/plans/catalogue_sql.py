@@ -200,7 +200,7 @@ SQL["outcome_counts"] = f"""WITH {STATS} SELECT count(*) AS repositories,
   count(*) FILTER (WHERE status IN ('cloned', 'updated')) AS succeeded,
   count(*) FILTER (WHERE status NOT IN ('cloned', 'updated')) AS failed FROM outcome"""
 SQL["corpus_totals"] = f"""WITH {STATS} SELECT *, format('{{:,}}', total_files) AS files_text,
-  printf('%.3f', round(total_size_gb, 3)) AS size_text FROM (
+  round_even((total_size_gb)::DECIMAL(38, 9), 3)::VARCHAR AS size_text FROM (
   SELECT coalesce(repo_name, 'all repositories') AS repo_name, sum(total_files)::BIGINT AS total_files,
     sum(code_files)::BIGINT AS code_files, sum(total_size_gb) AS total_size_gb FROM good GROUP BY ROLLUP (repo_name))"""
 
@@ -238,9 +238,9 @@ per_dim AS (SELECT d.dim, coalesce(sum(n) FILTER (WHERE NOT nulls), 0)::BIGINT A
   CASE WHEN count(file) = 0 THEN 1 ELSE count(file) FILTER (WHERE nulls OR wrong) END::BIGINT AS errors
   FROM (SELECT unnest({[*PREFIX_DIMS, 128]})::INTEGER AS dim) d LEFT JOIN per_file f ON f.dim = d.dim GROUP BY d.dim)
 SELECT *, CASE WHEN total_size_bytes < 1024 THEN total_size_bytes || ' bytes'
-    WHEN total_size_bytes < 1048576 THEN printf('%.2f KB', round(total_size_bytes / 1024.0::DOUBLE, 2))
-    WHEN total_size_bytes < 1073741824 THEN printf('%.2f MB', round(total_size_bytes / 1048576.0::DOUBLE, 2))
-    ELSE printf('%.2f GB', round(total_size_bytes / 1073741824.0::DOUBLE, 2)) END AS total_size,
+    WHEN total_size_bytes < 1048576 THEN round_even((total_size_bytes / 1024.0::DOUBLE)::DECIMAL(38, 9), 2) || ' KB'
+    WHEN total_size_bytes < 1073741824 THEN round_even((total_size_bytes / 1048576.0::DOUBLE)::DECIMAL(38, 9), 2) || ' MB'
+    ELSE round_even((total_size_bytes / 1073741824.0::DOUBLE)::DECIMAL(38, 9), 2) || ' GB' END AS total_size,
   CASE WHEN total_vectors = 500 THEN '✓' ELSE '✗' END AS mark FROM per_dim"""
 SQL["shard_errors"] = f"""WITH {SHARDS}
 SELECT dim, file, CASE WHEN nulls THEN 'rows without a vector' ELSE printf('dimension is %d, expected %d', found, dim) END AS error
@@ -287,9 +287,9 @@ SQL["metric_pivot"] = f"WITH {RESULTS} " + " UNION ALL ".join(
 )
 SQL["library_summary"] = f"""WITH {RESULTS} SELECT library, min(run_no) AS first_run,
   {", ".join(f"round(avg({m}), 6) AS avg_{m}" for m in METRICS)}, count(*) AS runs FROM results GROUP BY library"""
-SQL["summary_display"] = f"""WITH {RESULTS} SELECT library, printf('%.3f', round(avg(build_time), 3)) AS build_time,
-  printf('%.4f', round(avg(query_time_avg), 4)) AS query_time, printf('%.1f', round(avg(throughput_qps), 1)) AS throughput,
-  printf('%.1f', round(avg(memory_usage_mb), 1)) AS memory, count(*) AS runs FROM results GROUP BY library"""
+SQL["summary_display"] = f"""WITH {RESULTS} SELECT library, round_even((avg(build_time))::DECIMAL(38, 9), 3)::VARCHAR AS build_time,
+  round_even((avg(query_time_avg))::DECIMAL(38, 9), 4)::VARCHAR AS query_time, round_even((avg(throughput_qps))::DECIMAL(38, 9), 1)::VARCHAR AS throughput,
+  round_even((avg(memory_usage_mb))::DECIMAL(38, 9), 1)::VARCHAR AS memory, count(*) AS runs FROM results GROUP BY library"""
 
 
 def _pick(criterion: str, metric: str, direction: str, condition: str = "true", extra: str = "") -> str:
