@@ -34,7 +34,7 @@ MAX_PARTS = 1 << 20
 PARTIAL = "query_id bigint, vec_id bigint, score double"
 
 _QUERY_BLOCK = 512
-_PAIR_BYTES = 32 << 20
+_TERM_BYTES = 1 << 20
 _F32_SAFE = 1e36
 
 
@@ -49,24 +49,34 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     if len(rows) < len(column):
         column = column.filter(fits)
     values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    if np.isfinite(values.sum()):  # a bad component would show in the sum
+        return rows, values
     finite = np.isfinite(values).all(axis=1)
-    return (rows, values) if finite.all() else (rows[finite], values[finite])
+    return rows[finite], values[finite]
 
 
-def exact_keys(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Row-wise ranking key (larger is better) from left-to-right DOUBLE sums."""
+def exact_keys(queries: np.ndarray, q: np.ndarray, vectors: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Ranking key (larger is better) of the pairs ``(queries[q], vectors[v])``.
+
+    Sums run from left to right in DOUBLE; the steps keep a block of terms within the cache.
+    """
     out = np.empty(len(q), dtype=np.float64)
-    step = max(1, _PAIR_BYTES // (8 * max(1, q.shape[1])))
+    step = max(1, _TERM_BYTES // (8 * queries.shape[1]))
     for at in range(0, len(q), step):
-        a, b = q[at : at + step], v[at : at + step].astype(np.float64)
+        terms = queries[q[at : at + step]]
         if metric == "ip":
-            terms = a * b
+            terms *= vectors[v[at : at + step]]
         else:
-            terms = a - b
+            terms -= vectors[v[at : at + step]]
             terms *= terms
-        sums = np.add.accumulate(terms, axis=1)[:, -1]
-        out[at : at + step] = sums if metric == "ip" else -np.sqrt(sums)
-    return out
+        out[at : at + step] = np.add.accumulate(terms, axis=1, out=terms)[:, -1]
+    return out if metric == "ip" else -np.sqrt(out)
+
+
+def _rank_in_runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Position of each element within its run of equal keys."""
+    starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.r_[starts, len(sorted_keys)]))
 
 
 class BlockTopK:
@@ -74,6 +84,7 @@ class BlockTopK:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
         self.ids, self.queries, self.k, self.metric = query_ids, queries, k, metric
+        self.single = queries.astype(np.float32)
         self.norms = np.sqrt((queries * queries).sum(axis=1))
         self.floor = np.full(len(queries), -np.inf)  # exact k-th key so far
         self.best_q = np.empty(0, dtype=np.int64)
@@ -82,56 +93,70 @@ class BlockTopK:
 
     def add(self, vec_ids: np.ndarray, vectors: np.ndarray, groups=None) -> None:
         """``groups`` pairs query positions with vector positions; None means all with all."""
-        if len(vectors) == 0 or len(self.queries) == 0:
+        n = len(vectors)
+        if n == 0 or len(self.queries) == 0:
             return
-        sizes = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-        single = max(sizes.max(), self.norms.max(), 1.0) ** 2 < _F32_SAFE
-        kind = np.float32 if single else np.float64
-        block = vectors.astype(kind, copy=False)
-        queries = self.queries.astype(kind)
-        # Both the product and the exact sum are within dim * eps * |q||v| of the true value.
-        slack = 4.0 * (vectors.shape[1] + 4) * np.finfo(kind).eps
-        if groups is None:
-            groups = [(np.arange(len(self.queries)), None)]
-        found: list[np.ndarray] = []
-        for q_rows, v_rows in groups:
-            part = block if v_rows is None else block[v_rows]
-            part_sizes = sizes if v_rows is None else sizes[v_rows]
+        block, queries = vectors.astype(np.float32, copy=False), self.single
+        squares = np.einsum("ij,ij->i", block, block)
+        if not max(squares.max(), self.norms.max() ** 2) < _F32_SAFE:
+            block, queries = vectors.astype(np.float64), self.queries
+            squares = np.einsum("ij,ij->i", block, block)
+        # Product and exact sum are both within dim * eps * |q||v| of the true value.
+        reach = float(np.sqrt(squares.max()))
+        slack = 4.0 * (vectors.shape[1] + 4) * np.finfo(block.dtype).eps
+        margin = slack * (self.norms * reach if self.metric == "ip" else (self.norms + reach) ** 2)
+        pairs, scores = [], []
+        for q_rows, v_rows in groups or [(np.arange(len(self.queries)), None)]:
+            part, part_squares = (block, squares) if v_rows is None else (block[v_rows], squares[v_rows])
             for at in range(0, len(q_rows), _QUERY_BLOCK):
                 some = q_rows[at : at + _QUERY_BLOCK]
-                hit_q, hit_v = self._candidates(some, queries[some], part, part_sizes, slack)
-                hit_v = hit_v if v_rows is None else v_rows[hit_v]
-                found.append(some[hit_q] * len(vectors) + hit_v)
-        pairs = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-        if len(pairs) == 0:
-            return
-        q, v = pairs // len(vectors), pairs % len(vectors)
-        step = max(1, _PAIR_BYTES // (8 * vectors.shape[1]))
-        keys = np.concatenate(
-            [
-                exact_keys(self.queries[q[at : at + step]], vectors[v[at : at + step]], self.metric)
-                for at in range(0, len(q), step)
-            ]
-        )
-        self._merge(q, keys, vec_ids[v])
-
-    def _candidates(self, rows, queries, block, sizes, slack):
-        scores = (queries @ block.T).astype(np.float64, copy=False)
-        if self.metric == "ip":
-            margin = slack * self.norms[rows] * sizes.max()
-            floor = self.floor[rows]
+                at_q, at_v, near = self._candidates(some, queries[some], part, part_squares, margin[some])
+                pairs.append(some[at_q] * n + (at_v if v_rows is None else v_rows[at_v]))
+                scores.append(near)
+        if groups is None:
+            pair = np.concatenate(pairs)
         else:
+            pair = self._narrowed(np.concatenate(pairs), np.concatenate(scores), n, margin)
+        if len(pair):
+            q, v = pair // n, pair % n
+            self._merge(q, exact_keys(self.queries, q, vectors, v, self.metric), vec_ids[v])
+
+    def _candidates(self, rows, queries, block, squares, margin):
+        """Pairs that may be among the best k, with their approximate scores."""
+        scores = queries @ block.T
+        floor = self.floor[rows]
+        if self.metric == "l2":
             scores *= 2.0
-            scores -= sizes[None, :] ** 2
-            scores -= (self.norms[rows] ** 2)[:, None]
-            margin = slack * (self.norms[rows] + sizes.max()) ** 2
-            floor = np.where(np.isinf(self.floor[rows]), -np.inf, -(self.floor[rows] ** 2))
-        if len(block) > self.k:
-            kth = np.partition(scores, len(block) - self.k, axis=1)[:, len(block) - self.k]
-            floor = np.maximum(floor - margin, kth - 2.0 * margin)
-        else:
-            floor = floor - margin
-        return np.nonzero(scores >= floor[:, None])
+            scores -= squares
+            scores -= (self.norms[rows] ** 2).astype(scores.dtype)[:, None]
+            floor = -(floor**2)
+        floor = floor - margin
+        width, k = len(block), self.k
+        hits = None
+        if np.isfinite(floor).all():
+            hits = np.flatnonzero(scores >= self._below(floor, scores.dtype))
+        if (hits is None or len(hits) > 4 * k * len(rows)) and width > k:
+            kth = np.partition(scores, width - k, axis=1)[:, width - k]
+            floor = np.maximum(floor, kth - 2.0 * margin)
+            hits = None
+        if hits is None:
+            hits = np.flatnonzero(scores >= self._below(floor, scores.dtype))
+        return hits // width, hits % width, scores.ravel()[hits]
+
+    @staticmethod
+    def _below(floor: np.ndarray, kind) -> np.ndarray:
+        return np.nextafter(floor.astype(kind), kind.type(-np.inf))[:, None]
+
+    def _narrowed(self, pairs, scores, n, margin) -> np.ndarray:
+        """The candidates of several groups: each pair once, and against each query's k-th over all."""
+        pairs, first = np.unique(pairs, return_index=True)
+        scores = scores[first].astype(np.float64)
+        q = pairs // n
+        order = np.lexsort((-scores, q))
+        full = order[_rank_in_runs(q[order]) == self.k - 1]
+        floor = np.full(len(self.queries), -np.inf)
+        floor[q[full]] = scores[full] - 2.0 * margin[q[full]]
+        return pairs[scores >= floor[q]]
 
     def _merge(self, q, keys, ids) -> None:
         q = np.concatenate([self.best_q, q])
@@ -139,8 +164,7 @@ class BlockTopK:
         ids = np.concatenate([self.best_id, ids])
         order = np.lexsort((ids, -keys, q))
         q, keys, ids = q[order], keys[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        rank = _rank_in_runs(q)
         keep = rank < self.k
         self.best_q, self.best_key, self.best_id = q[keep], keys[keep], ids[keep]
         full = rank == self.k - 1

@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 from quillvec.functions.vector import as_double, inner_product
 from quillvec.operators.blockscan import block_topk, exact_keys, matrix_of
 from quillvec.operators.search import knn
+from quillvec.sources.vectors import write_vectors
 
 #: More centroids than this are not an inverted file any more, and would not be broadcast safely.
 MAX_CELLS = 65_536
 MAX_CENTROID_BYTES = 256 << 20
+INDEX_ROWS_PER_FILE = 1_000_000
 
 
 def cell_count(n: int) -> int:
@@ -75,7 +77,7 @@ def best_rows(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     tied = np.flatnonzero(near.sum(axis=1) > 1)
     for row in tied:
         options = np.flatnonzero(near[row])
-        keys = exact_keys(centroids[options], np.repeat(exact[row : row + 1], len(options), axis=0), "ip")
+        keys = exact_keys(exact, np.full(len(options), row), centroids, options, "ip")
         best[row] = options[keys.argmax()]
     return best
 
@@ -105,6 +107,16 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.mapInArrow(assign, schema)
 
 
+def ivf_build(vectors: DataFrame, centroids: DataFrame, path: str, max_rows: int = INDEX_ROWS_PER_FILE) -> DataFrame:
+    """Assigns the vectors and stores them by cell, so that a search reads only probed cells.
+
+    This is the one step that moves the vectors: they are rebalanced by cell into few, large
+    files, and a cell that holds most vectors is split over several writers.
+    """
+    write_vectors(ivf_assign(vectors, centroids), path, "cell", max_rows, rebalance=True)
+    return vectors.sparkSession.read.parquet(path)
+
+
 def ivf_search(
     queries: DataFrame,
     index: DataFrame,

@@ -9,12 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.operators.ivf import ivf_assign, ivf_search, ivf_train
+from quillvec.operators.ivf import ivf_build, ivf_search, ivf_train
 from quillvec.operators.lsh import hyperplanes, lsh_assign, lsh_search
 from quillvec.operators.recall import recall_at_k
 from quillvec.operators.search import K_VALUES, knn
 from quillvec.schemas import BENCHMARK
-from quillvec.session import durable
+from quillvec.session import durable, scratch_path
 from quillvec.sources.vectors import stack
 
 
@@ -44,7 +44,7 @@ def flat_l2() -> Method:
 def inverted_file(nprobe: int, nlist: int | None = None, seed: int = 0) -> Method:
     def build(vectors: DataFrame, dim: int):
         centroids = ivf_train(vectors, nlist, seed)
-        return centroids, durable(ivf_assign(vectors, centroids))
+        return centroids, ivf_build(vectors, centroids, scratch_path(vectors.sparkSession, "cells"))
 
     return Method(
         "inverted file", f"nprobe={nprobe}", build, lambda q, built, k: ivf_search(q, built[1], built[0], k, nprobe)
@@ -54,7 +54,9 @@ def inverted_file(nprobe: int, nlist: int | None = None, seed: int = 0) -> Metho
 def signed_planes(tables: int = 16, bits: int = 8, seed: int = 0) -> Method:
     def build(vectors: DataFrame, dim: int):
         planes = hyperplanes(vectors.sparkSession, dim, tables, bits, seed)
-        return planes, durable(lsh_assign(vectors, planes, bits))
+        path = scratch_path(vectors.sparkSession, "buckets")
+        lsh_assign(vectors, planes, bits).write.option("compression", "zstd").parquet(path)
+        return planes, vectors.sparkSession.read.parquet(path)
 
     return Method(
         "hyperplanes", f"tables={tables}, bits={bits}", build, lambda q, built, k: lsh_search(q, built[1], built[0], bits, k)

@@ -28,10 +28,15 @@ def data(spark):
     return base, queries, vectors, frame(spark, np.arange(12) + 100, queries, "query_id", "qv")
 
 
+def keys_of(query, base, metric):
+    n = len(base)
+    return exact_keys(query[None, :].astype(np.float64), np.zeros(n, int), base, np.arange(n), metric)
+
+
 def brute(base, queries, k, metric, allowed=None):
     out = {}
     for q in range(len(queries)):
-        key = exact_keys(np.repeat(queries[q : q + 1], len(base), 0), base, metric)
+        key = keys_of(queries[q], base, metric)
         ids = np.lexsort((np.arange(len(base)), -key))
         ids = [i for i in ids if allowed is None or i in allowed[q]]
         for rank, i in enumerate(ids[:k], 1):
@@ -113,7 +118,7 @@ def test_ivf_assign_takes_best_centroid_lowest_on_ties(spark, data):
     centroids = frame(spark, np.arange(8), twice, "cell", "c")
     got = {r.vec_id: r.cell for r in ivf.ivf_assign(vectors, centroids).collect()}
     for i in range(len(base)):
-        keys = exact_keys(np.repeat(base[i : i + 1], 8, 0), twice, "ip")
+        keys = keys_of(base[i], twice, "ip")
         assert got[i] == keys.argmax()
 
 
@@ -123,7 +128,7 @@ def test_ivf_search_equals_brute_force_inside_cells(data, cells, nprobe, limits)
     base, queries, _, q = data
     centroids, index = cells
     member = {r.vec_id: r.cell for r in index.collect()}
-    visit = [np.lexsort((np.arange(5), -exact_keys(np.repeat(queries[i : i + 1], 5, 0), base[:5], "ip")))[:nprobe] for i in range(12)]
+    visit = [np.lexsort((np.arange(5), -keys_of(queries[i], base[:5], "ip")))[:nprobe] for i in range(12)]
     allowed = [{v for v, c in member.items() if c in visit[i]} for i in range(12)]
     got = answers(ivf.ivf_search(q, index, centroids, 15, nprobe, **limits))
     assert got == brute(base, queries, 15, "ip", allowed)
