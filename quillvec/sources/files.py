@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillvec.functions.text import MAX_CHARS
 from quillvec.operators.ordinal import with_ordinal
@@ -131,7 +132,8 @@ def read_contents(files: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFr
     A missing, irregular or unreadable file has a null content and a reason. ``max_chars``
     bounds what is held of one file; None reads everything.
     """
-    schema = files.schema.add("content", "string").add("read_error", "string")
+    added = [T.StructField("content", T.StringType()), T.StructField("read_error", T.StringType())]
+    schema = T.StructType(files.schema.fields + added)
 
     def read(path: str | None) -> tuple[str | None, str | None]:
         if path is None or not os.path.isfile(path):

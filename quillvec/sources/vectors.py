@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillvec.functions.randoms import QUERY_STREAM, VECTOR_STREAM, normal_vector
 from quillvec.functions.vector import to_half
+from quillvec.schemas import VECTOR
 
 # The benchmark's dimensions, vectors per dimension, rows per shard and queries.
 DIMENSIONS = (128, 256, 512, 1024, 2048)
@@ -43,12 +44,15 @@ def write_vectors(
     )
 
 
-def read_vectors(spark: SparkSession, path: str, dim: int, skip_unreadable: bool = True) -> DataFrame:
+def read_vectors(
+    spark: SparkSession, path: str, dim: int, schema: str = VECTOR, skip_unreadable: bool = True
+) -> DataFrame:
     """The vectors of one dimension; only its folder is read. No vector at all is an error.
 
-    ``skip_unreadable`` leaves out damaged files; ``unreadable_files`` lists them.
+    ``skip_unreadable`` leaves out damaged files; ``unreadable_files`` lists them. The schema is
+    given, because inferring it would read footers, and could meet a damaged one.
     """
-    reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_unreadable).lower())
     vectors = reader.parquet(path).filter(F.col("dim") == dim)
     if vectors.select("vec_id").isEmpty():
         raise ValueError(f"no vectors of dimension {dim} in {path}")
@@ -73,7 +77,7 @@ def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select(F.col("path").alias("file"))
     )
-    table = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    table = spark.read.schema(VECTOR).option("ignoreCorruptFiles", "true").parquet(path)
     seen = table.select(F.col("_metadata.file_path").alias("file")).distinct()
     return listed.join(seen, "file", "left_anti")
 
