@@ -55,6 +55,15 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], values[finite]
 
 
+def full_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A bounded list column as a DOUBLE matrix; every row must have the same finite components."""
+    dim = pc.max(pc.list_value_length(column)).as_py() or 0
+    rows, values = matrix_of(column, dim)
+    if dim == 0 or len(rows) < len(column):
+        raise ValueError(f"every vector must have {dim} finite components")
+    return np.ascontiguousarray(values, dtype=np.float64)
+
+
 def exact_keys(queries: np.ndarray, q: np.ndarray, vectors: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Ranking key (larger is better) of the pairs ``(queries[q], vectors[v])``.
 
@@ -181,12 +190,9 @@ class BlockTopK:
 class Probes:
     """A bounded query set: one matrix, and per part the positions of the queries that visit it."""
 
-    def __init__(self, table: pa.Table, dim: int):
-        rows, values = matrix_of(table["qv"], dim)
-        if len(rows) < table.num_rows:
-            raise ValueError(f"every query must have {dim} finite components")
+    def __init__(self, table: pa.Table):
         self.query_ids = table["query_id"].to_numpy()
-        self.queries = np.ascontiguousarray(values, dtype=np.float64)
+        self.queries = full_matrix(table["qv"])
         self.parts: dict[int, np.ndarray] | None = None
         if "parts" in table.column_names:
             self.parts = dict(_by_part(table["parts"].combine_chunks(), np.arange(table.num_rows)))
@@ -218,7 +224,7 @@ def collect_probes(probes: DataFrame, max_rows: int, max_bytes: int) -> tuple[Pr
         return None, 0
     dim = pc.max(pc.list_value_length(table["qv"])).as_py()
     fits = table.num_rows <= max_rows and table.num_rows * dim * 8 <= max_bytes
-    return (Probes(table, dim) if fits else None), dim
+    return (Probes(table) if fits else None), dim
 
 
 def block_topk(
@@ -283,7 +289,9 @@ def _broadcast_scan(probes: Probes, vectors: DataFrame, k: int, metric: str, dim
 def _tiled_scan(
     probes: DataFrame, vectors: DataFrame, k: int, metric: str, dim: int, parted: bool, tile_bytes: int
 ) -> DataFrame:
-    tile_rows = max(1, tile_bytes // (8 * dim))
+    # Query tiles are the larger ones: each vector is copied once per query tile of its part.
+    v_rows = max(1, tile_bytes // (8 * dim))
+    q_rows = 4 * v_rows
     if parted:
         probes = probes.withColumn("part", F.explode("parts")).drop("parts")
         if _is_array(vectors, "part"):
@@ -293,11 +301,11 @@ def _tiled_scan(
     probes = probes.withColumn("part", F.col("part").cast("bigint"))
     vectors = vectors.withColumn("part", F.col("part").cast("bigint"))
 
-    def tile_count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("part").agg(F.ceil(F.count("*") / tile_rows).alias(name))
+    def tile_count(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("part").agg(F.ceil(F.count("*") / rows).alias(name))
 
     # One row per probed part. Fixing the counts also keeps a recomputed task on the same tiles.
-    tiles = tile_count(probes, "q_tiles").join(tile_count(vectors, "v_tiles"), "part")
+    tiles = tile_count(probes, q_rows, "q_tiles").join(tile_count(vectors, v_rows, "v_tiles"), "part")
     counted = tiles.limit(MAX_PARTS + 1).toArrow()
     if counted.num_rows <= MAX_PARTS:
         tiles = F.broadcast(probes.sparkSession.createDataFrame(counted))
@@ -315,27 +323,26 @@ def _tiled_scan(
     )
 
     def meet(q: pa.Table, v: pa.Table) -> pa.Table:
-        q_rows, queries = matrix_of(q["qv"], dim)
-        v_rows, values = matrix_of(v["embedding"], dim)
-        ids = q["query_id"].to_numpy()[q_rows]
-        best = BlockTopK(ids, np.ascontiguousarray(queries, dtype=np.float64), k, metric)
-        best.add(v["vec_id"].to_numpy()[v_rows], values)
+        best = BlockTopK(q["query_id"].to_numpy(), full_matrix(q["qv"]), k, metric)
+        found, values = matrix_of(v["embedding"], dim)
+        best.add(v["vec_id"].to_numpy()[found], values)
         return pa.Table.from_batches([best.result()])
 
     keys = ["part", "q_tile", "v_tile"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, PARTIAL)
 
 
-def rank_hits(partial: DataFrame, k: int, metric: str, repeated: bool = False) -> DataFrame:
+def rank_hits(partial: DataFrame, k: int, metric: str, repeated: bool = False, fan: int | None = None) -> DataFrame:
     """The best ``k`` of the per-task survivors, ties to the smaller ``vec_id``.
 
-    On a wide cluster a query's survivors are first cut down in several salted groups, so no
+    On a wide cluster a query's survivors are first cut down in ``fan`` salted groups, so no
     task sorts what all the others sent.
     """
     order = [F.col("score").desc() if metric == "ip" else F.col("score").asc(), F.col("vec_id").asc()]
     if repeated:
         partial = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    fan = partial.sparkSession.sparkContext.defaultParallelism // 64
+    if fan is None:
+        fan = partial.sparkSession.sparkContext.defaultParallelism // 64
     if fan > 1:
         window = Window.partitionBy("query_id", "salt").orderBy(*order)
         partial = (

@@ -24,12 +24,12 @@ def chunk_lines(df: DataFrame, text: str = "content", size: int = CHUNK_LINES, s
     others = [c for c in df.columns if c != text]
     lines = df.select(*others, F.split(text, "\n", -1).alias("__lines"))
     count = F.size("__lines")
-    starts = F.when(count < size, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.greatest(count - size, F.lit(0)), F.lit(stride))
-    )
-    placed = lines.filter(F.col("__lines").isNotNull()).select(
-        *others, "__lines", F.posexplode(starts).alias("chunk_no", "__start")
+    # A null text meets neither case; its null starts explode to no row. A filter for it would
+    # be pushed below and split every text a second time.
+    starts = F.when(count.between(1, size - 1), F.array(F.lit(0))).when(
+        count >= size, F.sequence(F.lit(0), F.greatest(count - size, F.lit(0)), F.lit(stride))
     )
+    placed = lines.select(*others, "__lines", F.posexplode(starts).alias("chunk_no", "__start"))
     return placed.select(
         *others,
         "chunk_no",

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillvec.functions.vector import as_double, inner_product
-from quillvec.operators.blockscan import block_topk, exact_keys, matrix_of
+from quillvec.operators.blockscan import block_topk, exact_keys, full_matrix, matrix_of
 from quillvec.operators.search import knn
+from quillvec.session import durable
 from quillvec.sources.vectors import write_vectors
 
 #: More centroids than this are not an inverted file any more, and would not be broadcast safely.
@@ -46,7 +47,9 @@ def ivf_train(
     if per_cell is not None and total > per_cell * nlist:
         share = int(per_cell * nlist / total * (1 << 30))
         points = points.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) <= share)
-    points = points.filter(inner_product(F.col("embedding"), F.col("embedding")) > 0)
+    points = points.filter(inner_product(F.col("embedding"), F.col("embedding")) > 0).select("embedding")
+    if per_cell is not None:
+        points = durable(points)  # a bounded sample: the iterations do not scan the table again
     features = points.select(array_to_vector(as_double(F.col("embedding"))).alias("features"))
     means = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=max_iter)
     centers = means.fit(features).clusterCenters()
@@ -58,11 +61,9 @@ def ivf_train(
 
 def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = centroids.select("cell", "c").limit(MAX_CELLS + 1).toArrow().sort_by("cell")
-    cells = table["cell"].to_numpy()
-    matrix = np.array(table["c"].to_pylist(), dtype=np.float64)
-    if len(cells) == 0 or len(cells) > MAX_CELLS or matrix.nbytes > MAX_CENTROID_BYTES:
-        raise ValueError(f"{len(cells)} centroids: an inverted file needs 1 to {MAX_CELLS} of bounded size")
-    return cells, matrix
+    if not 0 < table.num_rows <= MAX_CELLS or table.nbytes > MAX_CENTROID_BYTES:
+        raise ValueError(f"an inverted file needs 1 to {MAX_CELLS} centroids of at most {MAX_CENTROID_BYTES} bytes")
+    return table["cell"].to_numpy(), full_matrix(table["c"])
 
 
 def best_rows(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillvec.functions.randoms import normal_vector
-from quillvec.operators.blockscan import block_topk, matrix_of
+from quillvec.operators.blockscan import block_topk, full_matrix, matrix_of
 
 #: Buckets over all tables; keeps the planes' matrix and the per-bucket counts small.
 MAX_BUCKETS = 1 << 20
@@ -32,7 +32,7 @@ def _plane_matrix(planes: DataFrame, bits: int) -> np.ndarray:
     table = planes.select("plane", "h").limit(MAX_BUCKETS + 1).toArrow().sort_by("plane")
     if table.num_rows == 0 or table.num_rows % bits or (table.num_rows // bits) << bits > MAX_BUCKETS:
         raise ValueError("hyperplanes must form whole tables within the bucket limit")
-    return np.array(table["h"].to_pylist(), dtype=np.float64)
+    return full_matrix(table["h"])
 
 
 def bucket_codes(values: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:

@@ -90,14 +90,15 @@ def verify_files(rows: DataFrame) -> DataFrame:
         F.max(F.size("embedding")).alias("max_dim"),
     )
     good = (F.col("n_vectors") > 0) & (F.col("n_metadata") > 0)
-    first = files.filter(good).agg(F.min_by("file_dim", "file")).scalar()
+    # The subquery uses all columns of `files`, so that both share one aggregation of the vectors.
+    first = files.filter(good).agg(F.min_by(F.struct("file_dim", "max_dim"), "file")).scalar()
     judged = files.select(
         "file",
         "n_vectors",
         "n_metadata",
         F.when(F.col("n_vectors") > 0, F.col("file_dim")).alias("file_dim"),
         "max_dim",
-        first.alias("expected_dim"),
+        first["file_dim"].alias("expected_dim"),
         (~good).alias("error"),
     )
     judged = judged.withColumns(

@@ -70,16 +70,19 @@ def label_means(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """One centroid per label: its vector of smallest id."""
-    first = F.min_by("embedding", "vec_id")
+    """One centroid per label: its vector of smallest id.
+
+    The ids are found first and the vectors joined to them: aggregating the arrays themselves
+    would sort the whole table.
+    """
     rows = table(spark, folder, "embeddings")
-    return rows.groupBy(F.col("label").alias("cell")).agg(vector.as_double(first).alias("c"))
+    first = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id")).withColumnRenamed("label", "cell")
+    return rows.join(first, "vec_id").select("cell", vector.as_double(F.col("embedding")).alias("c"))
 
 
 def formula_planes(spark: SparkSession, folder: str) -> DataFrame:
     """Hyperplanes from integer arithmetic that any engine repeats exactly."""
-    dim = F.size(F.expr("first(embedding)"))
-    width = table(spark, folder, "embeddings").limit(1).agg(dim.alias("dim"))
+    width = table(spark, folder, "embeddings").select(F.size("embedding").alias("dim")).limit(1)
     plane = F.explode(F.sequence(F.lit(0), F.lit(LSH_TABLES * LSH_BITS - 1)))
     p = F.col("plane")
 

@@ -7,6 +7,7 @@ from quillvec.functions.display import bytes_to_gb, expected_mark, fixed, human_
 from quillvec.operators import corpus, report
 from quillvec.operators.recall import recall_at_k
 from quillvec.plans import sweep
+from quillvec.plans.benchmark import report_tables
 from quillvec.schemas import BENCHMARK, HIT, REPO_OUTCOME, TIMING
 from quillvec.sources.results import write_results_csv
 from quillvec.sources.vectors import random_queries, random_vector_table, stack
@@ -145,4 +146,6 @@ def test_sweep_isolates_failures(spark):
     assert all(r.num_vectors == 300 and r.throughput_qps > 0 for r in rows)
     assert [(f[0], f[2]) for f in failures] == [("broken", 8), ("broken", 16), ("", 99)]
     assert hits.filter("library = 'block'").count() == 2 * 2 * 5 * 20
-    assert report.best_performers(report.results_table(results)).count() == 4
+    tables = report_tables(results, ["block", "inverted file", "hyperplanes"], ["block"], ["hyperplanes"])
+    assert len(tables) == 11 and all(table.count() > 0 for table in tables.values())
+    assert tables["best_performers"].count() == 4 and tables["recommendations"].count() == 3

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillvec.functions.vector import euclidean, inner_product
 from quillvec.operators import ivf, lsh
-from quillvec.operators.blockscan import BlockTopK, exact_keys
+from quillvec.operators.blockscan import BlockTopK, exact_keys, rank_hits
 from quillvec.operators.recall import recall_at_k
 from quillvec.operators.search import argsort_head, distance_row, k_sweep, knn
 
@@ -49,7 +49,9 @@ def answers(hits):
 
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
-@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 50}])
+@pytest.mark.parametrize(
+    "limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}, {"max_probe_bytes": 100, "tile_bytes": 8 * DIM * 2}]
+)
 def test_knn_is_exact_with_ties(data, metric, limits):
     base, queries, vectors, q = data
     assert answers(knn(q, vectors, 20, metric, **limits)) == brute(base, queries, 20, metric)
@@ -93,6 +95,16 @@ def test_distance_row_and_argsort(data):
     assert [(r.vec_id, r.distance) for r in argsort_head(row, 7).collect()] == [want[102, i] for i in range(1, 8)]
 
 
+def test_salted_ranking_keeps_the_same_rows(spark, data):
+    _, _, vectors, q = data
+    partial = knn(q, vectors, 200).select("query_id", "vec_id", "score").unionByName(
+        knn(q, vectors, 300).filter("rank > 200").select("query_id", "vec_id", "score")
+    )
+    for metric in ("ip", "l2"):
+        plain = rank_hits(partial, 25, metric, fan=1)
+        assert answers(rank_hits(partial, 25, metric, fan=4)) == answers(plain)
+
+
 def test_k_sweep(data):
     _, _, vectors, q = data
     sizes = {r.k: r["count"] for r in k_sweep(knn(q, vectors, 100)).groupBy("k").count().collect()}
@@ -122,7 +134,7 @@ def test_ivf_assign_takes_best_centroid_lowest_on_ties(spark, data):
         assert got[i] == keys.argmax()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 40}])
+@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}])
 @pytest.mark.parametrize("nprobe", [1, 3, 5])
 def test_ivf_search_equals_brute_force_inside_cells(data, cells, nprobe, limits):
     base, queries, _, q = data
@@ -155,7 +167,7 @@ def test_ivf_train(data):
     assert all(len(r.c) == DIM for r in rows)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 40}])
+@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}])
 def test_lsh_search_equals_brute_force_inside_buckets(spark, data, limits):
     base, queries, vectors, q = data
     bits, tables = 4, 3
