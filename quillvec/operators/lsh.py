@@ -7,25 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillvec.functions.randoms import normal_vector
 from quillvec.operators.blockscan import block_topk, full_matrix, matrix_of
+from quillvec.sources.randoms import PLANE_STREAM, normal_rows
 
 #: Buckets over all tables; keeps the planes' matrix and the per-bucket counts small.
 MAX_BUCKETS = 1 << 20
-PLANE_STREAM = 2
 
 
 def hyperplanes(spark: SparkSession, dim: int, tables: int = 16, bits: int = 8, seed: int = 0) -> DataFrame:
     """``(plane, h)``: ``tables * bits`` random normals; plane ``t * bits + b`` is bit b of table t."""
     if tables << bits > MAX_BUCKETS:
         raise ValueError(f"tables * 2^bits must not exceed {MAX_BUCKETS}")
-    planes = spark.range(tables * bits)
-    return planes.select(
-        F.col("id").cast("int").alias("plane"), normal_vector(F.col("id"), dim, seed, PLANE_STREAM).alias("h")
-    )
+    ids = spark.range(tables * bits).withColumnRenamed("id", "plane")
+    return normal_rows(ids, "plane", "h", dim, seed, PLANE_STREAM).drop("dim")
 
 
 def _plane_matrix(planes: DataFrame, bits: int) -> np.ndarray:

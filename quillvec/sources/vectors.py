@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.functions.randoms import QUERY_STREAM, VECTOR_STREAM, normal_vector
-from quillvec.functions.vector import to_half
 from quillvec.schemas import VECTOR
+from quillvec.sources.randoms import QUERY_STREAM, VECTOR_STREAM, normal_rows
 
 # The benchmark's dimensions, vectors per dimension, rows per shard and queries.
 DIMENSIONS = (128, 256, 512, 1024, 2048)
@@ -89,16 +88,7 @@ def stack(tables: Sequence[DataFrame]) -> DataFrame:
 
 def random_vectors(ids: DataFrame, dims: Sequence[int] = DIMENSIONS, seed: int = 0) -> DataFrame:
     """An N(0,1) vector in half precision per row of ``ids(vec_id)`` and dimension."""
-    return stack(
-        [
-            ids.select(
-                F.col("vec_id").cast("bigint").alias("vec_id"),
-                F.lit(dim).alias("dim"),
-                to_half(normal_vector(F.col("vec_id").cast("bigint"), dim, seed, VECTOR_STREAM)).alias("embedding"),
-            )
-            for dim in dims
-        ]
-    )
+    return stack([normal_rows(ids, "vec_id", "embedding", dim, seed, VECTOR_STREAM, half=True) for dim in dims])
 
 
 def random_vector_table(
@@ -108,9 +98,6 @@ def random_vector_table(
 
 
 def random_queries(spark: SparkSession, dim: int, n: int = NUM_QUERIES, seed: int = 0) -> DataFrame:
-    """``n`` N(0,1) query vectors in DOUBLE, drawn apart from the stored vectors."""
-    return spark.range(n).select(
-        F.col("id").alias("query_id"),
-        F.lit(dim).alias("dim"),
-        normal_vector(F.col("id"), dim, seed, QUERY_STREAM).alias("qv"),
-    )
+    """``n`` N(0,1) query vectors ``(query_id, dim, qv)`` in DOUBLE, drawn apart from the stored vectors."""
+    ids = spark.range(n).withColumnRenamed("id", "query_id")
+    return normal_rows(ids, "query_id", "qv", dim, seed, QUERY_STREAM)
