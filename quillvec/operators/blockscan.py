@@ -35,7 +35,8 @@ PARTIAL = "query_id bigint, vec_id bigint, score double"
 
 _QUERY_BLOCK = 512
 _TERM_BYTES = 1 << 20
-_F32_SAFE = 1e36
+# Squared norms for which single precision neither overflows nor loses digits to underflow.
+_SINGLE_LOW, _SINGLE_HIGH = 1e-30, 1e36
 
 
 def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +96,8 @@ class BlockTopK:
         self.ids, self.queries, self.k, self.metric = query_ids, queries, k, metric
         self.single = queries.astype(np.float32)
         self.norms = np.sqrt((queries * queries).sum(axis=1))
+        sized = self.norms[self.norms > 0] ** 2
+        self.in_range = bool(((sized > _SINGLE_LOW) & (sized < _SINGLE_HIGH)).all())
         self.floor = np.full(len(queries), -np.inf)  # exact k-th key so far
         self.best_q = np.empty(0, dtype=np.int64)
         self.best_key = np.empty(0, dtype=np.float64)
@@ -107,7 +110,7 @@ class BlockTopK:
             return
         block, queries = vectors.astype(np.float32, copy=False), self.single
         squares = np.einsum("ij,ij->i", block, block)
-        if not max(squares.max(), self.norms.max() ** 2) < _F32_SAFE:
+        if not (self.in_range and _SINGLE_LOW < squares.max() < _SINGLE_HIGH):
             block, queries = vectors.astype(np.float64), self.queries
             squares = np.einsum("ij,ij->i", block, block)
         # Product and exact sum are both within dim * eps * |q||v| of the true value.

@@ -79,7 +79,7 @@ def search_sweep(
     ``memory_usage_mb`` is the vectors' payload.
     """
     spark = vectors.sparkSession
-    hits, rows, failures = [], [], []
+    hits, rows, recalls, failures = [], [], [], []
     for dim in dims:
         base = vectors.filter(F.col("dim") == dim)
         asked = queries.filter(F.col("dim") == dim)
@@ -100,12 +100,11 @@ def search_sweep(
                 done = time.perf_counter()
                 if method.metric not in truth:
                     truth[method.metric] = durable(knn(asked, base, k, method.metric))
-                recall = recall_at_k(found, truth[method.metric], [min(recall_k, k)]).first()["recall"]
                 per_query = (done - ready) / n_queries
                 payload = n * dim * 4 / 2**20
-                rows.append(
-                    (method.library, method.index_type, dim, n, ready - begin, payload, per_query, 0.0, recall, 1 / per_query)
-                )
+                rows.append((method.library, method.index_type, dim, n, ready - begin, payload, per_query, 0.0, 1 / per_query))
+                recall = recall_at_k(found, truth[method.metric], [min(recall_k, k)])
+                recalls.append(recall.select(F.lit(len(rows)).alias("run_no"), F.col("recall").alias("recall_at_k")))
                 hits.append(
                     found.withColumns(
                         {
@@ -117,8 +116,10 @@ def search_sweep(
                 )
             except Exception as problem:
                 failures.append((method.library, method.index_type, dim, f"{type(problem).__name__}: {problem}"))
-    numbered = [(i, *row) for i, row in enumerate(rows, 1)]
-    results = spark.createDataFrame(numbered, f"run_no INT, {BENCHMARK}")
     if not hits:
         raise RuntimeError(f"every method failed: {failures}")
+    columns = [c.split()[0] for c in BENCHMARK.split(", ")]
+    measured = [c for c in BENCHMARK.split(", ") if not c.startswith("recall_at_k")]
+    runs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows, 1)], ", ".join(["run_no INT", *measured]))
+    results = runs.join(stack(recalls), "run_no").select("run_no", *columns)
     return stack(hits), results, failures
