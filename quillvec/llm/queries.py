@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillvec.llm import shard_interleave, url_markov
+from quillvec.llm import bpe_words, shard_interleave, tokens_bitplane, url_markov
 
 QUERIES = {
+    "op3_bpe_words": bpe_words.query,
     "op6_shard_interleave": shard_interleave.query,
     "op7_url_markov": url_markov.query,
+    "op8_tokens_bitplane": tokens_bitplane.query,
 }
 
 SQL: dict[str, str] = {}

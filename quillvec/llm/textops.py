@@ -244,3 +244,14 @@ def slices(frame: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield frame.slice(row, last - row)
         row = last
+
+
+def process_cache(name: str, make):
+    """What ``make()`` gave when a task of this worker process first asked for ``name``."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_task_values", types.ModuleType("_task_values"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
