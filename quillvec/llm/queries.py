@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillvec.llm import bpe_words, shard_interleave, tokens_bitplane, url_markov
+from quillvec.llm import bpe_words, shard_interleave, tokens_bitplane, toxicity_crf, url_markov
 
 QUERIES = {
+    "op2_toxicity_crf": toxicity_crf.query,
     "op3_bpe_words": bpe_words.query,
     "op6_shard_interleave": shard_interleave.query,
     "op7_url_markov": url_markov.query,

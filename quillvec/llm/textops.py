@@ -10,10 +10,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text handled at once; all temporary arrays are a small multiple of it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = (
@@ -115,8 +116,9 @@ class Words:
         if lower:
             self.fold[65:91] += 32
 
-    def pieces(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, row of each word from there, folded bytes, starts, ends) for each piece."""
+    def pieces(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, row of each word from there, folded bytes, starts, ends, places in the row) for
+        each piece."""
         body, offsets = flat(column)
         for row, last, start, end in _pieces(body, offsets, _gap):
             text = self.fold[body[start:end]]
@@ -132,13 +134,14 @@ class Words:
             stop = inside.copy()
             stop[:-1] &= ~inside[1:] | heads[1:-1]
             ends = np.flatnonzero(stop) + 1
-            yield row, np.searchsorted(bounds, starts, side="right") - 1, text, starts, ends
+            of = np.searchsorted(bounds, starts, side="right") - 1
+            yield row, of, text, starts, ends, starts + start - offsets[row + of]
 
     def hashes(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word, and the word offset of every row."""
         rows, out = len(column), []
         counts = np.zeros(rows, np.int64)
-        for row, of, text, starts, ends in self.pieces(column):
+        for row, of, text, starts, ends, _ in self.pieces(column):
             out.append(self.hasher(self.hasher.byte[text], starts, ends))
             if len(of):
                 part = np.bincount(of)
@@ -146,6 +149,75 @@ class Words:
         return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
+class WordTable:
+    """A row of numbers for every word, computed once per distinct word while it is held.
+
+    ``rows(text, starts, ends, hashes)`` gives the rows of new words. At most ``limit`` words are
+    carried from one call to the next.
+    """
+
+    def __init__(self, rows, lower: bool = True, limit: int = 500_000) -> None:
+        self.rows, self.limit = rows, limit
+        self.words = Words(lower)
+        self.known: dict[int, int] = {}
+        self.values: np.ndarray | None = None
+
+    def __call__(self, column):
+        """(place of every word in ``values``, word offset of every row, byte start and end in its row)."""
+        if len(self.known) > self.limit:
+            self.known = {}
+        numbers, places, lengths = [], [], []
+        counts = np.zeros(len(column), np.int64)
+        for row, of, text, starts, ends, place in self.words.pieces(column):
+            codes, values = pd.factorize(self.words.hasher(self.words.hasher.byte[text], starts, ends))
+            found = np.fromiter((self.known.get(h, -1) for h in values.tolist()), np.int64, len(values))
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                first = np.full(len(values), len(codes))
+                np.minimum.at(first, codes, np.arange(len(codes)))
+                first = first[new]
+                rows = self.rows(text, starts[first], ends[first], values[new])
+                at, total = len(self.known), len(self.known) + len(new)
+                if self.values is None or len(self.values) < total:
+                    grown = np.zeros((max(total, 1 << 16, 2 * at), *rows.shape[1:]), rows.dtype)
+                    if at:
+                        grown[:at] = self.values[:at]
+                    self.values = grown
+                self.values[at:total] = rows
+                found[new] = np.arange(at, total)
+                self.known.update(zip(values[new].tolist(), range(at, total)))
+            numbers.append(found[codes])
+            places.append(place)
+            lengths.append(ends - starts)
+            if len(of):
+                part = np.bincount(of)
+                counts[row : row + len(part)] += part
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        place = join(places)
+        if self.values is None:
+            self.values = self.rows(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64))
+        return join(numbers), np.concatenate([[0], np.cumsum(counts)]), place, place + join(lengths)
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows of ``values`` between the offsets; empty ranges give 0."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def affix_ids(text, starts, ends, hashes, prefixes, suffixes, bits: int) -> np.ndarray:
+    """Hashed feature numbers of words: the word, its prefixes and its suffixes, as rows."""
+    hasher, columns = Hasher(), [hashes]
+    values = hasher.byte[text]
+    for k in prefixes:
+        columns.append(hasher(values, starts, np.minimum(ends, starts + k)) + np.uint64(2 * k + 1))
+    for k in suffixes:
+        columns.append(hasher(values, np.maximum(starts, ends - k), ends) + np.uint64(2 * k))
+    out = np.stack(columns, axis=1) if len(hashes) else np.zeros((0, 1 + len(prefixes) + len(suffixes)), np.uint64)
+    salt = np.arange(out.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(out + salt) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _letter_gap(body: np.ndarray, at: int, end: int) -> int:
     """The first space between two ASCII letters at or after ``at``: a sure pre-token start."""
     while at < end:
