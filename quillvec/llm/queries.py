@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from quillvec.llm import bpe_words, shard_interleave, tokens_bitplane, toxicity_crf, url_markov
+from quillvec.llm import (
+    bpe_words,
+    langid_ftrl,
+    quality_ordinal,
+    shard_interleave,
+    tokens_bitplane,
+    toxicity_crf,
+    url_markov,
+)
 
 QUERIES = {
+    "op1_quality_ordinal": quality_ordinal.query,
     "op2_toxicity_crf": toxicity_crf.query,
     "op3_bpe_words": bpe_words.query,
+    "op4_langid_ftrl": langid_ftrl.query,
     "op6_shard_interleave": shard_interleave.query,
     "op7_url_markov": url_markov.query,
     "op8_tokens_bitplane": tokens_bitplane.query,
