@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillvec.llm import (
     bpe_words,
+    decontam_pigeonhole,
     langid_ftrl,
     quality_ordinal,
     shard_interleave,
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity_crf": toxicity_crf.query,
     "op3_bpe_words": bpe_words.query,
     "op4_langid_ftrl": langid_ftrl.query,
+    "op5_decontam_pigeonhole": decontam_pigeonhole.query,
     "op6_shard_interleave": shard_interleave.query,
     "op7_url_markov": url_markov.query,
     "op8_tokens_bitplane": tokens_bitplane.query,

@@ -318,12 +318,15 @@ def slices(frame: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         row = last
 
 
-def process_cache(name: str, make):
-    """What ``make()`` gave when a task of this worker process first asked for ``name``."""
+def process_cache(name: str, key: str, make):
+    """What ``make()`` gave when a task of this worker process last asked for ``name`` with another key.
+
+    One value per name is held, so a long-lived worker does not gather old ones.
+    """
     import sys
     import types
 
     held = sys.modules.setdefault("_task_values", types.ModuleType("_task_values"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    if getattr(held, name, (None,))[0] != key:
+        setattr(held, name, (key, make()))
+    return getattr(held, name)[1]

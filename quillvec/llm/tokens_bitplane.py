@@ -144,7 +144,7 @@ def encode_texts(docs: DataFrame, path: str, bounds: list[tuple], end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import bisect
 
-        words = process_cache(f"word ids {path}", lambda: WordIds(path))
+        words = process_cache("word_ids", path, lambda: WordIds(path))
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
