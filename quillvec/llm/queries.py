@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillvec.llm import (
+    ann_pstable,
     bpe_words,
     decontam_pigeonhole,
     langid_ftrl,
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_shard_interleave": shard_interleave.query,
     "op7_url_markov": url_markov.query,
     "op8_tokens_bitplane": tokens_bitplane.query,
+    "op9_ann_pstable": ann_pstable.query,
 }
 
 SQL: dict[str, str] = {}
