@@ -8,13 +8,14 @@
   commonest word brings no more rows than any other), and
 * its positions, as a sequence of word numbers, to the block's task,
 
-and the ids of the words are joined back there by block and put in their positions. Both shuffles
-are spread evenly by construction, whatever a source, key or word weighs. Memory: one block, and the distinct
+and the ids of the words are joined back there by block and put in their positions. Positions are
+shuffled once, words and ids once each, and all are spread evenly by construction, whatever a source, key or word
+weighs. Memory: one block, and the distinct
 words of one bucket; raise ``buckets`` with the vocabulary. ``decode`` joins the token-byte table, whose size is
 the tokenizer's.
 
-The input must give the same rows in the same order when a task is repeated (a scan or a
-checkpoint does): the block number is the scan task's.
+Words and positions come from two passes over the input, which splits it into the same blocks: it must give
+the same partitions and rows whenever it is read, as a scan or a checkpoint does.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows each give a
 row; the keys may be null and are never looked at; no other column is read.
@@ -31,14 +32,13 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.textops import PreTokens, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKETS = 256
 OUT_BYTES = 8 << 20
 WORDS, POSITIONS = 1, 0
@@ -110,7 +110,7 @@ class _Block:
         self.keys.append(keys)
         self.counts.append(counts)
 
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
+    def rows(self, block: int, buckets: int, kind: int) -> Iterator[tuple]:
         hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
         blob = np.concatenate(self.blobs) if self.blobs else np.zeros(0, np.uint8)
@@ -121,18 +121,20 @@ class _Block:
         starts = np.cumsum(sizes) - sizes
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in range(buckets):
-            mine = order[bounds[b] : bounds[b + 1]]
-            if len(mine):
-                words = blob[runs(starts[mine], sizes[mine])].tobytes()
-                yield WORDS, b, block, b, squeeze.compress(words), _pack(sizes[mine])
+        if kind == WORDS:
+            for b in range(buckets):
+                mine = order[bounds[b] : bounds[b + 1]]
+                if len(mine):
+                    words = blob[runs(starts[mine], sizes[mine])].tobytes()
+                    yield WORDS, b, block, b, squeeze.compress(words), _pack(sizes[mine])
+            return
         sink = pa.BufferOutputStream()
         keys = pa.Table.from_batches(self.keys).combine_chunks()
         keys = keys.append_column("__n", pa.array(np.concatenate(self.counts)))
         with pa.ipc.new_stream(sink, keys.schema) as out:
             out.write_table(keys)
         numbers = np.concatenate(self.numbers) if self.numbers else np.zeros(0, np.uint32)
-        yield POSITIONS, -1 - block, block, -1, squeeze.compress(sink.getvalue().to_pybytes()), _pack(place[numbers])
+        yield POSITIONS, -1, block, -1, squeeze.compress(sink.getvalue().to_pybytes()), _pack(place[numbers])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -152,23 +154,21 @@ def _flushed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
-def _explode(keys: list[str], text: str, block_tokens: int, buckets: int):
+def _explode(keys: list[str], kind: int, block_tokens: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            splitter, block = PreTokens(), _Block()
-            number = TaskContext.get().partitionId() << 32
-            step = 256
+            splitter, block, number = PreTokens(), _Block(), None
             for batch in batches:
-                row = 0
-                while row < batch.num_rows:
-                    part = batch.slice(row, step)
-                    block.add(part.select(keys), part.column(text), splitter)
-                    row += part.num_rows
+                for row in range(0, batch.num_rows, 256):
+                    part = batch.slice(row, 256)
+                    if number is None:
+                        number = part.column("__part")[0].as_py() << 32
+                    block.add(part.select(keys), part.column("__text"), splitter)
                     if block.tokens >= block_tokens:
-                        yield from block.rows(number, buckets)
+                        yield from block.rows(number, buckets, kind)
                         number, block = number + 1, _Block()
             if block.keys:
-                yield from block.rows(number, buckets)
+                yield from block.rows(number, buckets, kind)
 
         yield from _flushed(rows())
 
@@ -182,9 +182,6 @@ def _encode_words(encoder: Callable[[], Callable[[list[str]], list[list[int]]]])
             expand = zstandard.ZstdDecompressor()
             for batch in batches:
                 for kind, place, block, bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                    if kind == POSITIONS:
-                        yield kind, place, block, bucket, a, b
-                        continue
                     if place != current:
                         current, known = place, {}
                     blob = expand.decompress(a)
@@ -273,10 +270,12 @@ def encode(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or max(BUCKETS, partitions)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANKS)))
-    rows = docs.select(*keys, F.col(text).alias("__text"))
-    exploded = rows.mapInArrow(_explode(list(keys), "__text", block_tokens, buckets), _PACKED)
-    by_word = exploded.repartition(partitions, "place").sortWithinPartitions("place")
-    encoded = by_word.mapInArrow(_encode_words(tiktoken_encoder(ranks)), _PACKED)
+    rows = docs.select(*keys, F.col(text).alias("__text"), F.spark_partition_id().alias("__part"))
+    words, positions = (
+        rows.mapInArrow(_explode(list(keys), kind, block_tokens, buckets), _PACKED) for kind in (WORDS, POSITIONS)
+    )
+    by_word = words.repartition(partitions, "place").sortWithinPartitions("place")
+    encoded = by_word.mapInArrow(_encode_words(tiktoken_encoder(ranks)), _PACKED).unionByName(positions)
     order = ["block", F.col("kind").desc(), "bucket"]
     by_block = encoded.repartition(partitions, "block").sortWithinPartitions(*order)
     fields = [StructField(k, docs.schema[k].dataType) for k in keys]
