@@ -6,6 +6,7 @@ from quillvec.llm import (
     ann_pstable,
     bpe_words,
     decontam_pigeonhole,
+    jaccard_groups,
     langid_ftrl,
     quality_ordinal,
     shard_interleave,
@@ -24,6 +25,7 @@ QUERIES = {
     "op7_url_markov": url_markov.query,
     "op8_tokens_bitplane": tokens_bitplane.query,
     "op9_ann_pstable": ann_pstable.query,
+    "op10_jaccard_groups": jaccard_groups.query,
 }
 
 SQL: dict[str, str] = {}
