@@ -33,7 +33,7 @@ from quillvec.llm.textops import mix
 from quillvec.session import durable
 
 TABLES, HASHES, PROBES = 12, 6, 150
-WIDTH = 0.8  # of the median distance between sampled vectors
+WIDTH = 0.85  # of the median distance between sampled vectors
 SAMPLE = 1000
 BLOCK_BYTES = 32 << 20
 ROWS = 2048
