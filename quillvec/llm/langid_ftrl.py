@@ -280,10 +280,6 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with some confidence, with their own columns.
-
-    The model learns from the table's documents, not only from those that earlier stages left.
-    """
-    model = train(learnable(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    found = predict(docs, model)
+    """Documents whose language is recognised with some confidence, with their own columns."""
+    found = predict(docs, train(learnable(docs)))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= KEEP)).select(*docs.columns)
