@@ -3,7 +3,7 @@
 Rows are shuffled inside each source by a seeded hash; the row of rank r among n takes the place
 (2r + 1) / 2n on a line from 0 to 1. The line of all sources together is cut into shards of equal
 row counts (at most one apart), so each shard holds every source in the proportion of the whole
-table, to within one row per source and cut.
+table, to within a few rows.
 
 Both rankings are range partitionings with per-partition offsets (``with_ordinal``): a source with
 a third of all rows is spread over many tasks, no window ever holds a whole source.
