@@ -1,24 +1,23 @@
 """The scan that every search shares: score blocks of vectors against blocks of queries, keep
 the best k per query in each task, then rank the survivors with a window.
 
-Two physical forms give the same answer:
-
-* *probe broadcast* - a query set of at most ``max_probe_rows`` rows and ``max_probe_bytes``
-  is broadcast and the vectors are scanned where they lie; nothing but k rows per query and
-  task is shuffled.
-* *tiles* - a larger query set is cut, like the vectors, into tiles of bounded size; each pair
-  of tiles meets in one cogroup. A part that holds most of the rows is just more tiles.
+The queries travel, the vectors stay where they lie: nothing but k rows per query and task is
+shuffled. A query set is broadcast in blocks of at most ``BLOCK_BYTES``; its size is summed before
+anything is fetched. One pass over the vectors serves as many blocks as ``PASS_BYTES`` holds, a larger
+query set takes several passes.
 
 Within a block a single-precision matrix product selects candidates with a proven error margin;
 only those are scored exactly, as a left-to-right DOUBLE sum. Scores are therefore the same bits
 as the native expressions in ``functions.vector``, whatever the batching.
 
-Vectors of another dimension, and vectors with null or non-finite components, are not searched.
+Vectors of another dimension, and vectors with null or non-finite components, stop a search. With
+``on_unusable="skip"`` they are passed over; ``unusable_vectors`` lists them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("ip", "l2")
-MAX_PROBE_ROWS = 4096
-MAX_PROBE_BYTES = 64 << 20
-TILE_BYTES = 32 << 20
-MAX_PARTS = 1 << 20
+POLICIES = ("error", "skip")
+BLOCK_BYTES = 32 << 20
+PASS_BYTES = 256 << 20
 PARTIAL = "query_id bigint, vec_id bigint, score double"
 
 _QUERY_BLOCK = 512
+_VECTOR_ROWS = 8192  # with 512 queries, a block of scores has at most 32 MB
 _TERM_BYTES = 1 << 20
 # Squared norms for which single precision neither overflows nor loses digits to underflow.
 _SINGLE_LOW, _SINGLE_HIGH = 1e-30, 1e36
@@ -56,6 +55,31 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], values[finite]
 
 
+def usable_rows(column: pa.Array, dim: int, on_unusable: str) -> tuple[np.ndarray, np.ndarray]:
+    """``matrix_of``, where with ``"error"`` a row that is left out is an error."""
+    rows, values = matrix_of(column, dim)
+    if on_unusable == "error" and len(rows) < len(column):
+        raise ValueError(f"{len(column) - len(rows)} of {len(column)} vectors do not have {dim} finite components")
+    return rows, values
+
+
+def check_policy(on_unusable: str) -> None:
+    if on_unusable not in POLICIES:
+        raise ValueError(f"on_unusable must be one of {POLICIES}, not {on_unusable!r}")
+
+
+def unusable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """``(vec_id, reason)`` of the vectors that a search in ``dim`` dimensions cannot use."""
+    v = F.col("embedding")
+    reason = (
+        F.when(v.isNull(), F.lit("null"))
+        .when(F.size(v) != dim, F.format_string("%d components", F.size(v)))
+        .when(F.exists(v, lambda x: x.isNull()), F.lit("null component"))
+        .when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), F.lit("component not finite"))
+    )
+    return vectors.select("vec_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def full_matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A bounded list column as a DOUBLE matrix; every row must have the same finite components."""
     dim = pc.max(pc.list_value_length(column)).as_py() or 0
@@ -220,14 +244,30 @@ def _is_array(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name].startswith("array")
 
 
-def collect_probes(probes: DataFrame, max_rows: int, max_bytes: int) -> tuple[Probes | None, int]:
-    """The probe set if it is within both bounds (else None), and the dimension."""
-    table = probes.limit(max_rows + 1).toArrow()
-    if table.num_rows == 0:
-        return None, 0
-    dim = pc.max(pc.list_value_length(table["qv"])).as_py()
-    fits = table.num_rows <= max_rows and table.num_rows * dim * 8 <= max_bytes
-    return (Probes(table) if fits else None), dim
+def fetch_probes(probes: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[list[Probes], int]:
+    """The query set in blocks of about ``block_bytes`` and its dimension.
+
+    The set is measured first; a block is a hash range of the query ids, so each is fetched by itself.
+    """
+    parted = "parts" in probes.columns
+    held = probes.persist()
+    try:
+        size = 8 * F.size("qv") + (8 * F.size("parts") if parted else 0)
+        total, low, high = held.agg(F.sum(size), F.min(F.size("qv")), F.max(F.size("qv"))).first()
+        if total is None:
+            return [], 0
+        if low != high:
+            raise ValueError(f"queries of {low} and of {high} components")
+        blocks = -(-total // block_bytes)
+        out = []
+        for block in range(blocks):
+            mine = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            table = mine.toArrow()
+            if table.num_rows:
+                out.append(Probes(table))
+        return out, high
+    finally:
+        held.unpersist()
 
 
 def block_topk(
@@ -236,114 +276,71 @@ def block_topk(
     k: int,
     metric: str = "ip",
     part: str | None = None,
-    repeated: bool = False,
-    max_probe_rows: int = MAX_PROBE_ROWS,
-    max_probe_bytes: int = MAX_PROBE_BYTES,
-    tile_bytes: int = TILE_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    pass_bytes: int = PASS_BYTES,
+    on_unusable: str = "error",
 ) -> DataFrame:
     """Best ``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     Without ``part`` every query meets every vector. With it, a query meets the vectors whose
     ``part`` column (one part, or an array of them) holds one of the query's ``parts`` (an
-    array). ``repeated`` says that a pair can meet in several parts; it counts once.
+    array); a pair that meets in several parts counts once, as one task sees all parts of a vector.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    check_policy(on_unusable)
     probes = probes.select(F.col("query_id").cast("bigint").alias("query_id"), "qv", *(["parts"] if part else []))
     fields = [F.col("vec_id").cast("bigint").alias("vec_id"), "embedding"]
     vectors = vectors.select(*fields, *([F.col(part).alias("part")] if part else []))
-    small, dim = collect_probes(probes, max_probe_rows, max_probe_bytes)
-    if small is None and dim == 0:
+    blocks, dim = fetch_probes(probes, block_bytes)
+    if not blocks:
         return rank_hits(probes.sparkSession.createDataFrame([], PARTIAL), k, metric)
-    if small is not None:
-        partial = _broadcast_scan(small, vectors, k, metric, dim)
-        repeated = False  # one task sees all parts of a vector
-    else:
-        partial = _tiled_scan(probes, vectors, k, metric, dim, part is not None, tile_bytes)
-    return rank_hits(partial, k, metric, repeated)
+    per_pass = max(1, pass_bytes // block_bytes)
+    passes = [
+        _scan(blocks[at : at + per_pass], vectors, k, metric, dim, on_unusable) for at in range(0, len(blocks), per_pass)
+    ]
+    return rank_hits(reduce(DataFrame.unionByName, passes), k, metric)
 
 
-def _broadcast_scan(probes: Probes, vectors: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
-    if probes.parts is not None and not _is_array(vectors, "part"):
-        vectors = vectors.filter(F.col("part").isin(sorted(probes.parts)))  # prunes a table stored by part
+def _scan(blocks: list[Probes], vectors: DataFrame, k: int, metric: str, dim: int, on_unusable: str) -> DataFrame:
+    if blocks[0].parts is not None and not _is_array(vectors, "part"):
+        probed = sorted({p for block in blocks for p in block.parts})
+        vectors = vectors.filter(F.col("part").isin(probed))  # prunes a table stored by part
     # Plain arrays: broadcast values are pickled by reference to their class.
-    shared = vectors.sparkSession.sparkContext.broadcast((probes.query_ids, probes.queries, probes.parts))
+    shared = vectors.sparkSession.sparkContext.broadcast([(b.query_ids, b.queries, b.parts) for b in blocks])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, visits = shared.value
-        best = BlockTopK(query_ids, queries, k, metric)
+        sets = [(BlockTopK(ids, queries, k, metric), visits) for ids, queries, visits in shared.value]
         for batch in batches:
-            rows, values = matrix_of(batch["embedding"], dim)
-            if len(rows) == 0:
-                continue
-            groups = None
-            if visits is not None:
-                groups = [(visits[part], at) for part, at in _by_part(batch["part"], rows) if part in visits]
-                if not groups:
+            for at in range(0, batch.num_rows, _VECTOR_ROWS):
+                some = batch.slice(at, _VECTOR_ROWS)
+                rows, values = usable_rows(some["embedding"], dim, on_unusable)
+                if len(rows) == 0:
                     continue
-            best.add(batch["vec_id"].to_numpy()[rows], values, groups)
-        yield best.result()
+                ids = some["vec_id"].to_numpy()[rows]
+                members = _by_part(some["part"], rows) if sets[0][1] is not None else None
+                for best, visits in sets:
+                    if members is None:
+                        best.add(ids, values)
+                        continue
+                    groups = [(visits[part], where) for part, where in members if part in visits]
+                    if groups:
+                        best.add(ids, values, groups)
+        for best, _ in sets:
+            yield best.result()
 
     return vectors.mapInArrow(scan, PARTIAL)
 
 
-def _tiled_scan(
-    probes: DataFrame, vectors: DataFrame, k: int, metric: str, dim: int, parted: bool, tile_bytes: int
-) -> DataFrame:
-    # Query tiles are the larger ones: each vector is copied once per query tile of its part.
-    v_rows = max(1, tile_bytes // (8 * dim))
-    q_rows = 4 * v_rows
-    if parted:
-        probes = probes.withColumn("part", F.explode("parts")).drop("parts")
-        if _is_array(vectors, "part"):
-            vectors = vectors.withColumn("part", F.explode("part"))
-    else:
-        probes, vectors = probes.withColumn("part", F.lit(0)), vectors.withColumn("part", F.lit(0))
-    probes = probes.withColumn("part", F.col("part").cast("bigint"))
-    vectors = vectors.withColumn("part", F.col("part").cast("bigint"))
-
-    def tile_count(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("part").agg(F.ceil(F.count("*") / rows).alias(name))
-
-    # One row per probed part. Fixing the counts also keeps a recomputed task on the same tiles.
-    tiles = tile_count(probes, q_rows, "q_tiles").join(tile_count(vectors, v_rows, "v_tiles"), "part")
-    counted = tiles.limit(MAX_PARTS + 1).toArrow()
-    if counted.num_rows <= MAX_PARTS:
-        tiles = F.broadcast(probes.sparkSession.createDataFrame(counted))
-    left = (
-        probes.join(tiles, "part")
-        .withColumn("q_tile", F.pmod(F.xxhash64("query_id"), F.col("q_tiles")))
-        .withColumn("v_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("v_tiles") - 1)))
-        .select("part", "q_tile", "v_tile", "query_id", "qv")
-    )
-    right = (
-        vectors.join(tiles, "part")
-        .withColumn("v_tile", F.pmod(F.xxhash64("vec_id"), F.col("v_tiles")))
-        .withColumn("q_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_tiles") - 1)))
-        .select("part", "q_tile", "v_tile", "vec_id", "embedding")
-    )
-
-    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
-        best = BlockTopK(q["query_id"].to_numpy(), full_matrix(q["qv"]), k, metric)
-        found, values = matrix_of(v["embedding"], dim)
-        best.add(v["vec_id"].to_numpy()[found], values)
-        return pa.Table.from_batches([best.result()])
-
-    keys = ["part", "q_tile", "v_tile"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, PARTIAL)
-
-
-def rank_hits(partial: DataFrame, k: int, metric: str, repeated: bool = False, fan: int | None = None) -> DataFrame:
+def rank_hits(partial: DataFrame, k: int, metric: str, fan: int | None = None) -> DataFrame:
     """The best ``k`` of the per-task survivors, ties to the smaller ``vec_id``.
 
     On a wide cluster a query's survivors are first cut down in ``fan`` salted groups, so no
     task sorts what all the others sent.
     """
     order = [F.col("score").desc() if metric == "ip" else F.col("score").asc(), F.col("vec_id").asc()]
-    if repeated:
-        partial = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     if fan is None:
         fan = partial.sparkSession.sparkContext.defaultParallelism // 64
     if fan > 1:

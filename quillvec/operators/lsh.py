@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillvec.operators.blockscan import block_topk, full_matrix, matrix_of
+from quillvec.operators.blockscan import block_topk, check_policy, full_matrix, usable_rows
 from quillvec.sources.randoms import PLANE_STREAM, normal_rows
 
 #: Buckets over all tables; keeps the planes' matrix and the per-bucket counts small.
 MAX_BUCKETS = 1 << 20
+MAX_PLANE_BYTES = 256 << 20
 
 
 def hyperplanes(spark: SparkSession, dim: int, tables: int = 16, bits: int = 8, seed: int = 0) -> DataFrame:
@@ -25,7 +27,10 @@ def hyperplanes(spark: SparkSession, dim: int, tables: int = 16, bits: int = 8,
 
 
 def _plane_matrix(planes: DataFrame, bits: int) -> np.ndarray:
-    table = planes.select("plane", "h").limit(MAX_BUCKETS + 1).toArrow().sort_by("plane")
+    count, widest = planes.agg(F.count("*"), F.max(F.size("h"))).first()
+    if count > MAX_BUCKETS or 8 * count * (widest or 0) > MAX_PLANE_BYTES:
+        raise ValueError(f"hyperplanes must fit into {MAX_PLANE_BYTES} bytes")
+    table = planes.select("plane", "h").toArrow().sort_by("plane")
     if table.num_rows == 0 or table.num_rows % bits or (table.num_rows // bits) << bits > MAX_BUCKETS:
         raise ValueError("hyperplanes must form whole tables within the bucket limit")
     return full_matrix(table["h"])
@@ -39,8 +44,14 @@ def bucket_codes(values: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarra
     return codes + (np.arange(codes.shape[1], dtype=np.int64) << bits)
 
 
-def lsh_assign(vectors: DataFrame, planes: DataFrame, bits: int, column: str = "embedding") -> DataFrame:
-    """Adds ``buckets``, one code per table. Row-local."""
+def lsh_assign(
+    vectors: DataFrame, planes: DataFrame, bits: int, column: str = "embedding", on_unusable: str = "error"
+) -> DataFrame:
+    """Adds ``buckets``, one code per table. Row-local.
+
+    A vector that cannot be hashed is an error; with ``"skip"`` it has no bucket.
+    """
+    check_policy(on_unusable)
     matrix = _plane_matrix(planes, bits)
     shared = vectors.sparkSession.sparkContext.broadcast(matrix)
     schema = T.StructType(vectors.schema.fields + [T.StructField("buckets", T.ArrayType(T.LongType()))])
@@ -49,7 +60,7 @@ def lsh_assign(vectors: DataFrame, planes: DataFrame, bits: int, column: str = "
         known = shared.value
         tables = len(known) // bits
         for batch in batches:
-            rows, values = matrix_of(batch[column], known.shape[1])
+            rows, values = usable_rows(batch[column], known.shape[1], on_unusable)
             lengths = np.zeros(batch.num_rows, dtype=np.int32)
             lengths[rows] = tables
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -69,4 +80,4 @@ def lsh_search(
     more bits cut the work.
     """
     probes = lsh_assign(queries.select("query_id", "qv"), planes, bits, "qv").withColumnRenamed("buckets", "parts")
-    return block_topk(probes, index, k, metric, part="buckets", repeated=True, **limits)
+    return block_topk(probes, index, k, metric, part="buckets", **limits)

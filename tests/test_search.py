@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillvec.functions.vector import euclidean, inner_product
 from quillvec.operators import ivf, lsh
-from quillvec.operators.blockscan import BlockTopK, exact_keys, rank_hits
+from quillvec.operators.blockscan import BlockTopK, exact_keys, rank_hits, unusable_vectors
 from quillvec.operators.recall import recall_at_k
 from quillvec.operators.search import argsort_head, distance_row, k_sweep, knn
 
@@ -50,7 +50,7 @@ def answers(hits):
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 @pytest.mark.parametrize(
-    "limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}, {"max_probe_bytes": 100, "tile_bytes": 8 * DIM * 2}]
+    "limits", [{}, {"block_bytes": 8 * DIM * 3}, {"block_bytes": 8 * DIM * 3, "pass_bytes": 8 * DIM * 6}]
 )
 def test_knn_is_exact_with_ties(data, metric, limits):
     base, queries, vectors, q = data
@@ -68,9 +68,38 @@ def test_fewer_vectors_than_k_and_unusable_vectors(spark, data):
     _, _, _, q = data
     rows = [(1, [1.0] * DIM), (2, [1.0] * (DIM - 1)), (3, None), (4, [float("nan")] + [0.0] * (DIM - 1)), (5, [0.0] * DIM)]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    hits = knn(q, vectors, 10)
+    hits = knn(q, vectors, 10, on_unusable="skip")
     assert {r.vec_id for r in hits.collect()} == {1, 5}
     assert hits.count() == 24
+    with pytest.raises(Exception, match="finite components"):
+        knn(q, vectors, 10).count()
+    rejects = {r.vec_id: r.reason for r in unusable_vectors(vectors, DIM).collect()}
+    assert rejects == {2: f"{DIM - 1} components", 3: "null", 4: "component not finite"}
+    centroids = vectors.filter("vec_id = 1").selectExpr("0 AS cell", "cast(embedding AS array<double>) AS c")
+    with pytest.raises(Exception, match="finite components"):
+        ivf.ivf_assign(vectors, centroids).count()
+    assert ivf.ivf_assign(vectors, centroids, "skip").filter("cell IS NULL").count() == 3
+
+
+def test_queries_of_several_lengths_are_an_error(spark, data):
+    _, _, vectors, q = data
+    mixed = q.unionByName(q.select(F.lit(7).cast("bigint").alias("query_id"), F.slice("qv", 1, 3).alias("qv")))
+    with pytest.raises(ValueError, match="components"):
+        knn(mixed, vectors, 5)
+
+
+def test_no_exchange_carries_vectors(data):
+    _, _, vectors, q = data
+    plan = knn(q, vectors, 5, block_bytes=8 * DIM * 3, pass_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Repartition" in line or "Join" in line]
+    assert plan.count("MapInArrow") == 4 and not [line for line in shuffled if "Repartition" not in line]
+
+
+def test_many_cells_in_blocks(spark, data):
+    base, _, vectors, _ = data
+    centroids = frame(spark, np.arange(40), np.concatenate([base[:20], base[:20]]).astype(np.float64), "cell", "c")
+    one = {r.vec_id: r.cell for r in ivf.ivf_assign(vectors, centroids).collect()}
+    assert {r.vec_id: r.cell for r in ivf.ivf_assign(vectors, centroids, block_bytes=8 * DIM * 7).collect()} == one
 
 
 def test_huge_values_do_not_overflow_selection():
@@ -134,7 +163,7 @@ def test_ivf_assign_takes_best_centroid_lowest_on_ties(spark, data):
         assert got[i] == keys.argmax()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 8 * DIM * 3}])
 @pytest.mark.parametrize("nprobe", [1, 3, 5])
 def test_ivf_search_equals_brute_force_inside_cells(data, cells, nprobe, limits):
     base, queries, _, q = data
@@ -161,13 +190,13 @@ def test_ivf_recall_grows_with_nprobe_to_one(data, cells):
 def test_ivf_train(data):
     _, _, vectors, _ = data
     assert [ivf.cell_count(n) for n in (5, 60, 10**6)] == [1, 2, 100]
-    centroids = ivf.ivf_train(vectors, seed=1, per_cell=20)
+    centroids = ivf.ivf_train(vectors, seed=1)
     rows = centroids.orderBy("cell").collect()
     assert [r.cell for r in rows] == list(range(len(rows))) and 1 <= len(rows) <= 20
     assert all(len(r.c) == DIM for r in rows)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_probe_rows": 3, "tile_bytes": 8 * DIM * 60}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 8 * DIM * 3}])
 def test_lsh_search_equals_brute_force_inside_buckets(spark, data, limits):
     base, queries, vectors, q = data
     bits, tables = 4, 3
