@@ -41,9 +41,15 @@ def in_libraries(results: DataFrame, libraries: Sequence[str]) -> DataFrame:
     return results.filter(F.col("library").isin(*libraries))
 
 
-def metric_pivot(results: DataFrame, metric: str, libraries: Sequence[str]) -> DataFrame:
-    """Mean of a metric, dimension by library."""
-    return results.groupBy("dimension").pivot("library", list(libraries)).agg(F.avg(metric)).orderBy("dimension")
+def metric_means(results: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """``(metric, dimension, library, mean)`` of every library, from one aggregation."""
+    means = results.groupBy("dimension", "library").agg(*[F.avg(m).alias(m) for m in metrics])
+    return means.unpivot(["dimension", "library"], list(metrics), "metric", "mean")
+
+
+def metric_pivot(results: DataFrame, metric: str, libraries: Sequence[str] | None = None) -> DataFrame:
+    """Mean of a metric, dimension by library; without a list, all libraries are columns."""
+    return results.groupBy("dimension").pivot("library", libraries and list(libraries)).agg(F.avg(metric)).orderBy("dimension")
 
 
 def library_summary(results: DataFrame) -> DataFrame:

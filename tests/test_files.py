@@ -79,7 +79,8 @@ def test_too_long_files_are_rejected_not_cut(spark, tmp_path):
     for n in (499_999, 500_000):
         (tmp_path / str(n)).write_text("é" * n)
     rows = spark.createDataFrame([(str(tmp_path / str(n)),) for n in (499_999, 500_000)], "path string")
-    got = {os.path.basename(r.path): r for r in files.read_contents(rows).collect()}
+    assert all(len(r.content) == int(os.path.basename(r.path)) for r in files.read_contents(rows).collect())
+    got = {os.path.basename(r.path): r for r in files.read_contents(rows, 500_000).collect()}
     assert len(got["499999"].content) == 499_999
     assert got["500000"].content is None and "500000" in got["500000"].read_error
 

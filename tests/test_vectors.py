@@ -81,10 +81,41 @@ def test_damaged_files_are_skipped_and_listed(spark, tmp_path):
         os.unlink(crc)
     with open(f"{path}/dim=8/{target}", "wb") as out:
         out.write(b"not parquet at all")
-    assert V.read_vectors(spark, path, 8).count() == 50
+    with pytest.raises(Exception):
+        V.read_vectors(spark, path, 8).count()
+    assert V.read_vectors(spark, path, 8, skip_unreadable=True).count() == 50
     assert [os.path.basename(r.file) for r in V.unreadable_files(spark, path).collect()] == [target]
 
 
+def test_a_file_damaged_at_its_end_is_left_out_whole(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name in ("good", "bad"):
+        os.makedirs(tmp_path / "dim=8", exist_ok=True)
+        values = pa.array([[float(i)] * 8 for i in range(2000)], pa.list_(pa.float32()))
+        table = pa.table({"vec_id": pa.array(range(2000), pa.int64()), "embedding": values})
+        pq.write_table(table, tmp_path / "dim=8" / f"{name}.parquet", row_group_size=250, compression="zstd", use_dictionary=False)
+    bad = tmp_path / "dim=8" / "bad.parquet"
+    group = pq.read_metadata(bad).row_group(7)
+    start = group.column(0).data_page_offset
+    data = bytearray(bad.read_bytes())
+    data[start : start + 200] = bytes(200)
+    bad.write_bytes(bytes(data))
+    (row,) = V.unreadable_files(spark, str(tmp_path)).collect()
+    assert os.path.basename(row.file) == "bad.parquet" and row.rows == 2000 and row.read < 2000
+    assert V.read_vectors(spark, str(tmp_path), 8, skip_unreadable=True).count() == 2000
+    with pytest.raises(Exception):
+        V.read_vectors(spark, str(tmp_path), 8).select(F.sum("vec_id")).collect()
+
+
+def test_stack_refuses_a_wrong_length(spark):
+    rows = spark.createDataFrame([(1, 2, [1.0, 2.0]), (2, 2, [1.0])], "vec_id bigint, dim int, embedding array<float>")
+    assert V.stack([rows.filter("vec_id = 1")]).collect()[0].embedding == [1.0, 2.0]
+    with pytest.raises(Exception, match="vector 2 has 1 components"):
+        V.stack([rows, rows]).collect()
+
+
 def test_verify_stored_table(spark, stored):
     rows = V.with_file(spark.read.parquet(stored))
     got = {r.dim: r for r in verify_shards(rows, (8, 16, 32), 1250).collect()}
