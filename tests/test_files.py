@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillvec.operators.ordinal import with_batch, with_ordinal
-from quillvec.plans.corpus import chunk_table, indexed_files, scanned_files, vector_table
+from quillvec.plans.corpus import chunk_table, file_rejects, indexed_files, scanned_files, vector_table
 from quillvec.operators.embedding import HashingEncoder
 from quillvec.sources import files, repos
 
@@ -117,6 +117,13 @@ def test_scan_and_index_modes_agree(spark, roots, tree):
     assert {tuple(r) for r in indexed_files(index, str(base)).collect()} == {tuple(r) for r in scanned.collect()}
     assert {r.path for r in indexed_files(index, str(base), skip_hidden=False).collect()} == want | {"r1/.git/HEAD", "r1/.gitignore"}
     assert {r.repo_name for r in scanned.collect()} == {"r1", "r2"}
+    listed = files.list_files(roots)
+    rejects = {r.path: r.reason for r in file_rejects(listed, str(base)).collect()}
+    used = {f"{base}/{r.path}" for r in scanned.collect()}
+    assert used | set(rejects) == {r.path for r in listed.collect()} and not used & set(rejects)
+    elsewhere = spark.createDataFrame([(1, "/elsewhere/a.py")], "idx bigint, path string")
+    assert [r.reason for r in file_rejects(elsewhere, str(base)).collect()] == ["outside the root"]
+    assert indexed_files(elsewhere, str(base)).count() == 0
     vectors = vector_table(chunk_table(scanned), HashingEncoder(16), 16)
     assert vectors.count() == 7 and vectors.filter("embed_error is not null").count() == 0
     assert vectors.select("vec_id").distinct().count() == 7
