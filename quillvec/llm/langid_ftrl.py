@@ -30,14 +30,14 @@ from quillvec.llm.textops import Hasher, WordTable, mix, powers, row_sums, runs,
 
 BITS = 17
 LENGTHS = (1, 2, 3, 4)
-PER_LANG = 1500
-LONGEST = 20_000
+PER_LANG = 1000
+LONGEST = 10_000
 MAX_LANGS = 1000
 UNKNOWN = "und"
 KEEP = 0.4
 SCALE = 50.0
 PIECES = 64
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass
@@ -83,7 +83,7 @@ def grams_of(text, starts, ends) -> tuple[np.ndarray, np.ndarray]:
 class GramTable:
     """The grams of every word met, as ranges of one flat array."""
 
-    def __init__(self, limit: int = 200_000) -> None:
+    def __init__(self, limit: int = 100_000) -> None:
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.table = WordTable(self._rows, limit=limit)

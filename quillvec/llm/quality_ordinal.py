@@ -29,11 +29,11 @@ from quillvec.llm.textops import WordTable, affix_ids, row_sums, slices
 
 BITS = 16
 PREFIXES, SUFFIXES = (1, 2, 3), (1, 2, 3)
-PER_GRADE = 2500
-LONGEST = 20_000
+PER_GRADE = 2000
+LONGEST = 10_000
 MEASURES = 7
 SELECT = 0.5
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass

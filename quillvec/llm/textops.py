@@ -156,7 +156,7 @@ class WordTable:
     carried from one call to the next.
     """
 
-    def __init__(self, rows, lower: bool = True, limit: int = 500_000) -> None:
+    def __init__(self, rows, lower: bool = True, limit: int = 150_000) -> None:
         self.rows, self.limit = rows, limit
         self.words = Words(lower)
         self.known: dict[int, int] = {}

@@ -34,11 +34,11 @@ from quillvec.llm.textops import WordTable, affix_ids, row_sums, slices
 BITS = 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
 OWN = 1 + len(PREFIXES) + len(SUFFIXES)
-PER_CLASS = 1500
-LONGEST = 20_000
+PER_CLASS = 1200
+LONGEST = 10_000
 SEGMENT = 96
 REJECT = 0.7
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass
@@ -159,10 +159,14 @@ def fit(texts: pa.Table, rounds: int = 60, rate: float = 0.4, penalty: float = 2
 
     # Features of toxic documents: how many documents of either label have them.
     once = np.unique(docs * len(features) + words)
-    pairs = np.unique((once // len(features))[:, None] * size + features[once % len(features)])
-    toxic = y[pairs // size] == 1
-    a = np.bincount(pairs[toxic] % size, minlength=size)
-    b = np.bincount(pairs[~toxic] % size, minlength=size)
+    owner, word = once // len(features), once % len(features)
+    a, b = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for column in features.T:  # the kinds of features have ids of their own
+        pairs = np.unique(owner * size + column[word])
+        toxic = y[pairs // size] == 1
+        a += np.bincount(pairs[toxic] % size, minlength=size)
+        b += np.bincount(pairs[~toxic] % size, minlength=size)
+    del once, owner, word, pairs, toxic
     share = ((a + 0.5) / (y.sum() + 1)) / ((b + 0.5) / ((1 - y).sum() + 1))
     marked = (a >= max(4, 0.008 * y.sum())) & (share >= 12)
     token = marked[features].any(axis=1)[words] & (y[docs] == 1)
