@@ -9,8 +9,8 @@ one class, decided by a 64-bit key of the set. The rest works on classes, and fi
    Only these are shuffled, packed by shingle hash. A block of documents sends a shingle once however
    many of its documents hold it, so a frequent shingle costs one entry per block. Shingles of one class only are dropped, and with them
    every class that has fewer than the least number of shared ones.
-2. *Groups.* Classes that agree in a min-hash are compared with the smallest class among them; the components of these
-   links are the groups of similar documents.
+2. *Groups.* Classes that agree in a min-hash are compared with the smallest class among them, in a few rounds; the components of
+   these links are the groups of similar documents.
 3. *Token-group matrix.* A group stands for the union of its members' postings. A class and a foreign group with too few common
    shingles are passed over; only a qualifying group is opened, its members' overlaps with the class counted, and
    pairs that still qualify are compared exactly. So copies within a group are never paired with each other.
@@ -42,9 +42,11 @@ WIDTH = 5
 PERCENT = 75
 SLACK = 12  # one extra prefix shingle for so many of the set
 MINHASHES = 6
-FREQUENT_BITS = 20
-FREQUENT_IN_BLOCK = 3
-BLOCK_POSTINGS = 1_000_000
+ROUNDS = 1
+FREQUENT_BITS = 21
+FREQUENT_IN_BLOCK = 2
+BROADCAST_BYTES = 64 << 20
+BLOCK_POSTINGS = 500_000
 BUCKET_POSTINGS = 2_000_000
 SLICE = 2 << 20
 
@@ -197,25 +199,25 @@ def _frequent_table(profiles: DataFrame, bits: int) -> np.ndarray:
 
     rows = profiles.where(F.col("frequent").isNotNull()).select("frequent", "counts")
     sums = rows.mapInArrow(count, "piece int, n binary").repartition(pieces, "piece").mapInArrow(add, "piece int, n binary").collect()
-    table = np.zeros(1 << bits, np.float64)
+    table = np.zeros(1 << bits, np.uint8)
     for row in sums:
-        part = _unpack(row["n"])
-        table[row["piece"] * len(part) : (row["piece"] + 1) * len(part)] = part
-    return np.ceil(np.log2(table + 1)).astype(np.uint8)
+        part = _unpack(row["n"]).astype(np.float64)
+        table[row["piece"] * len(part) : (row["piece"] + 1) * len(part)] = np.ceil(np.log2(part + 1))
+    return table
 
 
 # -- pass 2: postings --------------------------------------------------------------------------
 
-_PACKED = "bucket int, tokens binary, docs binary, classes binary, sizes binary, many binary"
-_POSTING = "token bigint, class bigint, n int"
+_PACKED = "bucket int, tokens binary, docs binary, places binary, classes binary, sizes binary, many binary"
+_POSTING = "token bigint, class bigint, n int, pos int"
 
 
 def _postings(width: int, percent: int, buckets: int, levels):
-    def pack(tokens: np.ndarray, docs: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pack(tokens: np.ndarray, docs: np.ndarray, places: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One row per bucket with the first document of every shingle, and flags for those of several
         classes; then the other documents of these."""
         order = np.lexsort((docs, tokens))
-        tokens, docs = tokens[order], docs[order]
+        tokens, docs, places = tokens[order], docs[order], places[order]
         first = np.ones(len(tokens), bool)
         first[1:] = tokens[1:] != tokens[:-1]
         start = np.flatnonzero(first)
@@ -234,7 +236,7 @@ def _postings(width: int, percent: int, buckets: int, levels):
                 used, local = np.unique(docs[mine], return_inverse=True)
                 deltas = np.diff(tokens[mine], prepend=np.uint64(0))  # ascending, or equal
                 rows.append(
-                    (b, _pack(deltas), _pack(local), classes[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes(),
+                    (b, _pack(deltas), _pack(local), _pack(places[mine]), classes[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes(),
                      np.packbits(flags[edges[b] : edges[b + 1]]).tobytes())
                 )
         for k in range(0, len(rows), 16):
@@ -247,7 +249,7 @@ def _postings(width: int, percent: int, buckets: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(width), levels.value
         low = np.uint64(len(level) - 1)
-        tokens, docs, classes, sizes, seen, held = [], [], [], [], set(), 0
+        tokens, docs, places, classes, sizes, seen, held = [], [], [], [], [], set(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 for shingles in shingler(part.column("text")):
@@ -262,14 +264,15 @@ def _postings(width: int, percent: int, buckets: int, levels):
                     chosen = shingles[np.argsort(level[shingles & low], kind="stable")[: prefix(n, percent)]]
                     tokens.append(chosen)
                     docs.append(np.full(len(chosen), len(classes), np.int32))
+                    places.append(np.arange(len(chosen)))
                     classes.append(name)
                     sizes.append(n)
                     held += len(chosen)
                     if held >= BLOCK_POSTINGS:
-                        yield from pack(np.concatenate(tokens), np.concatenate(docs), np.array(classes), np.array(sizes))
-                        tokens, docs, classes, sizes, seen, held = [], [], [], [], set(), 0
+                        yield from pack(*map(np.concatenate, (tokens, docs, places)), np.array(classes), np.array(sizes))
+                        tokens, docs, places, classes, sizes, seen, held = [], [], [], [], [], set(), 0
         if held:
-            yield from pack(np.concatenate(tokens), np.concatenate(docs), np.array(classes), np.array(sizes))
+            yield from pack(*map(np.concatenate, (tokens, docs, places)), np.array(classes), np.array(sizes))
 
     return run
 
@@ -280,9 +283,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        tokens, classes, sizes, many = (np.concatenate(x) for x in zip(*held))
+        tokens, classes, sizes, places, many = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((classes, tokens))
-        tokens, classes, sizes, many = tokens[order], classes[order], sizes[order], many[order]
+        tokens, classes, sizes, places, many = (x[order] for x in (tokens, classes, sizes, places, many))
         new = np.ones(len(tokens), bool)
         new[1:] = tokens[1:] != tokens[:-1]
         fresh = new.copy()
@@ -293,7 +296,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(use), 1 << 16):
             at = use[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[at].view(np.int64)), pa.array(classes[at]), pa.array(sizes[at], pa.int32())], names=["token", "class", "n"]
+                [pa.array(tokens[at].view(np.int64)), pa.array(classes[at]), pa.array(sizes[at], pa.int32()), pa.array(places[at], pa.int32())],
+                names=["token", "class", "n", "pos"],
             )
 
     bucket, held = None, []
@@ -305,7 +309,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, local = np.cumsum(_unpack(row["tokens"]), dtype=np.uint64), _unpack(row["docs"]).astype(np.int64)
             classes, sizes = np.frombuffer(row["classes"], "<i8"), np.frombuffer(row["sizes"], "<i4")
             many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(tokens)).astype(bool)
-            held.append((tokens, classes[local], sizes[local], many))
+            held.append((tokens, classes[local], sizes[local], _unpack(row["places"]).astype(np.int32), many))
     yield from close(held)
 
 
@@ -367,44 +371,83 @@ def classes_and_links(docs: DataFrame, key: str, text: str, width: int, percent:
 
     packed = rows.select("text").mapInArrow(_postings(width, percent, buckets, levels), _PACKED)
     shared = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _POSTING)
-    shared = shared.groupBy("class", "token").agg(F.max("n").alias("n"))
+    shared = shared.groupBy("class", "token").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     need = f"(({percent} * n + 99) div 100 + {SLACK - 1}) div {SLACK}"
     shared = durable(shared)
     alive = shared.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(f"shared >= {need}")
     alive = durable(alive.select("class", "n"))
-    if alive.isEmpty():
+    living = alive.count()
+    if living == 0:
         return documents, None
     posts = shared.join(alive.select("class"), "class")
 
-    # one text for each class that may link
+    # One text for each class that may link. The places, 24 bytes a class, travel to the texts if they are few,
+    # else both are shuffled.
     first = documents.where("n > 1").groupBy("class").agg(F.min("row").alias("row")).join(alive, "class")
+    first = F.broadcast(durable(first)) if 24 * living <= BROADCAST_BYTES else first
     texts = rows.select("row", "text").join(first, "row").select("class", "n", "text")
     texts = durable(texts.mapInArrow(_with_minhashes(width), "class bigint, n int, text string, minhash array<bigint>"))
 
-    # groups: links with the smallest class of the same min-hash
-    keyed = texts.select("class", F.posexplode("minhash").alias("j", "h"))
-    pivots = keyed.groupBy("j", "h").agg(F.min("class").alias("a"), F.count("*").alias("members")).where("members > 1")
-    stars = keyed.join(pivots, ["j", "h"]).where("a < class").select("a", F.col("class").alias("b")).distinct()
-    links = durable(compare(stars, texts, width, percent))
-    groups = components(links) if not links.isEmpty() else None
-
-    # token-group matrix
+    # Groups: links with the smallest class of the same min-hash, in rounds; who is in its group already is not
+    # compared again.
+    groups = None
+    for turn in range(ROUNDS):
+        keyed = texts.select("class", F.posexplode("minhash").alias("j", "h")).where(F.col("j") % ROUNDS == turn)
+        pivots = keyed.groupBy("j", "h").agg(F.min("class").alias("a"), F.count("*").alias("members")).where("members > 1")
+        stars = keyed.join(pivots, ["j", "h"]).where("a < class").select("a", F.col("class").alias("b")).distinct()
+        if groups is not None:
+            of = [groups.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
+            stars = stars.join(of[0], "a", "left").join(of[1], "b", "left")
+            stars = stars.where("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b").select("a", "b")
+        found = durable(compare(stars, texts, width, percent))
+        if found.isEmpty():
+            continue
+        if groups is not None:
+            found = found.union(groups.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
+        groups = components(found)
+
+    # token-group matrix; a class without links is a group of its own
     if groups is None:
-        grouped = posts.withColumn("comp", F.col("class"))
+        grouped = posts.withColumn("comp", F.col("class")).withColumn("multi", F.lit(False))
     else:
         grouped = posts.join(groups.withColumnRenamed("node", "class"), "class", "left")
-        grouped = grouped.withColumn("comp", F.coalesce("comp", "class"))
+        grouped = grouped.withColumn("multi", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "class"))
     several = grouped.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    open_posts = durable(grouped.join(several, "token").select("token", "class", "n", "comp"))
-    matrix = open_posts.select("token", F.col("comp").alias("group")).distinct()
-    overlap = open_posts.join(matrix, "token").where("comp <> group").groupBy("class", "group").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    opened = overlap.where(f"c >= {need}").select("class", "group")
-    mine = open_posts.select("class", F.col("n").alias("n1"), "token").join(opened, "class")
-    theirs = open_posts.select(F.col("comp").alias("group"), "token", F.col("class").alias("other"), F.col("n").alias("n2"))
-    met = mine.join(theirs, ["group", "token"])
-    met = met.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    met = met.groupBy("class", "other").agg(F.count("*").alias("c"), F.min(F.least("n1", "n2")).alias("n"))
-    pairs = met.where(f"c >= (n + {SLACK - 1}) div {SLACK}").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    open_posts = durable(grouped.join(several, "token").select("token", "class", "n", "pos", "comp", "multi"))
+    matrix = open_posts.groupBy("token", F.col("comp").alias("group")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"), F.max("multi").alias("many")
+    )
+
+    # Sets of n and m shingles link with an overlap of o or more, so the first n - o + l of one and m - o + l of the
+    # other have l common ones: a shingle further back need not be met.
+    def near(place: str, n: str, m: str) -> str:
+        o = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+        return f"{place} < {n} - {o} + (least({n}, {m}) + {SLACK - 1}) div {SLACK}"
+
+    # Each two groups meet once: a lone class and a larger group from the side of the lone class. A lone
+    # class has one size and place; for a larger group the smallest size of a member with the shingle counts.
+    met = open_posts.join(matrix, "token").where(
+        f"comp <> group AND 100 * n >= {percent} * low AND 100 * high >= {percent} * n "
+        "AND CASE WHEN many THEN (NOT multi OR comp < group) "
+        f"AND pos < n - ({percent} * (n + greatest(low, ({percent} * n + 99) div 100)) + {99 + percent}) div {100 + percent} + (n + {SLACK - 1}) div {SLACK} "
+        f"ELSE NOT multi AND class < group AND {near('pos', 'n', 'low')} AND {near('first', 'low', 'n')} END"
+    )
+    overlap = met.groupBy("class", "group", "many").agg(
+        F.count("*").alias("c"), F.max("n").alias("n1"), F.max("high").alias("n2")
+    )
+    enough = f"c >= (least(n1, n2) + {SLACK - 1}) div {SLACK}"
+    lone = overlap.where("NOT many").where(enough).select("class", F.col("group").alias("other"))
+    opened = overlap.where("many").withColumn("n", F.col("n1")).where(f"c >= {need}").select("class", "group")
+    mine = open_posts.select("class", F.col("n").alias("n1"), F.col("pos").alias("p1"), "token").join(opened, "class")
+    members = open_posts.where("multi").select(
+        F.col("comp").alias("group"), "token", F.col("class").alias("other"), F.col("n").alias("n2"), F.col("pos").alias("p2")
+    )
+    inside = mine.join(members, ["group", "token"]).where(
+        f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND {near('p1', 'n1', 'n2')} AND {near('p2', 'n2', 'n1')}"
+    )
+    inside = inside.groupBy("class", "other").agg(F.count("*").alias("c"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    pairs = lone.union(inside.where(enough).select("class", "other"))
+    pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     more = durable(compare(pairs, texts, width, percent))
     if more.isEmpty():
         return documents, groups
