@@ -8,14 +8,15 @@
   commonest word brings no more rows than any other), and
 * its positions, as a sequence of word numbers, to the block's task,
 
-and the ids of the words are joined back there by block and put in their positions. Positions are
-shuffled once, words and ids once each, and all are spread evenly by construction, whatever a source, key or word
+and the ids of the words are joined back there by block and put in their positions. Positions go with the words through
+both shuffles, so that one pass over the input makes both, and are coded shortly: the commonest words of a block have
+small numbers. All are spread evenly by construction, whatever a source, key or word
 weighs. Memory: one block, and the distinct
 words of one bucket; raise ``buckets`` with the vocabulary. ``decode`` joins the token-byte table, whose size is
 the tokenizer's.
 
-Words and positions come from two passes over the input, which splits it into the same blocks: it must give
-the same partitions and rows whenever it is read, as a scan or a checkpoint does.
+Words and positions of a block come from the same pass, so the input need not give the same partitions or order whenever it
+is read.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows each give a
 row; the keys may be null and are never looked at; no other column is read.
@@ -40,6 +41,7 @@ from quillvec.llm.textops import PreTokens, runs
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1_000_000
 BUCKETS = 256
+COMMON = 8192
 OUT_BYTES = 8 << 20
 WORDS, POSITIONS = 1, 0
 _PACKED = "kind int, place bigint, block bigint, bucket int, a binary, b binary"
@@ -63,14 +65,42 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers at the smallest width, compressed."""
+    """Unsigned numbers at the smallest width, compressed as byte planes."""
     top = int(values.max()) if len(values) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(values.astype(f"<u{width}").tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=9).compress(
+        np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    )
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").reshape(-1)
+
+
+def _pack_words(numbers: np.ndarray) -> bytes:
+    """A sequence of word numbers: the ``COMMON`` commonest by rank, the others by number; ranks below 255 are one byte."""
+    counts = np.bincount(numbers)
+    common = np.argsort(-counts, kind="stable")[: min(COMMON, np.count_nonzero(counts))]
+    code = len(common) + np.arange(len(counts))
+    code[common] = np.arange(len(common))
+    code = code[numbers]
+    parts = [_pack(common), _pack(np.minimum(code, 255)), _pack(code[code >= 255] - 255)]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "little")
+        parts.append(_unpack(data[at + 4 : at + 4 + size]).astype(np.int64))
+        at += 4 + size
+    common, code, rest = parts
+    code[code == 255] += rest
+    ranked = code < len(common)
+    out = code - len(common)
+    out[ranked] = common[code[ranked]]
+    return out
 
 
 class _Block:
@@ -110,7 +140,7 @@ class _Block:
         self.keys.append(keys)
         self.counts.append(counts)
 
-    def rows(self, block: int, buckets: int, kind: int) -> Iterator[tuple]:
+    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
         hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
         blob = np.concatenate(self.blobs) if self.blobs else np.zeros(0, np.uint8)
@@ -120,21 +150,19 @@ class _Block:
         place[order] = np.arange(len(order), dtype=np.uint32)
         starts = np.cumsum(sizes) - sizes
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        squeeze = zstandard.ZstdCompressor(level=3)
-        if kind == WORDS:
-            for b in range(buckets):
-                mine = order[bounds[b] : bounds[b + 1]]
-                if len(mine):
-                    words = blob[runs(starts[mine], sizes[mine])].tobytes()
-                    yield WORDS, b, block, b, squeeze.compress(words), _pack(sizes[mine])
-            return
+        squeeze = zstandard.ZstdCompressor(level=9)
+        for b in range(buckets):
+            mine = order[bounds[b] : bounds[b + 1]]
+            if len(mine):
+                words = blob[runs(starts[mine], sizes[mine])].tobytes()
+                yield WORDS, b, block, b, squeeze.compress(words), _pack(sizes[mine])
         sink = pa.BufferOutputStream()
         keys = pa.Table.from_batches(self.keys).combine_chunks()
         keys = keys.append_column("__n", pa.array(np.concatenate(self.counts)))
         with pa.ipc.new_stream(sink, keys.schema) as out:
             out.write_table(keys)
         numbers = np.concatenate(self.numbers) if self.numbers else np.zeros(0, np.uint32)
-        yield POSITIONS, -1, block, -1, squeeze.compress(sink.getvalue().to_pybytes()), _pack(place[numbers])
+        yield POSITIONS, -1 - block, block, -1, squeeze.compress(sink.getvalue().to_pybytes()), _pack_words(place[numbers])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,7 +182,7 @@ def _flushed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
-def _explode(keys: list[str], kind: int, block_tokens: int, buckets: int):
+def _explode(keys: list[str], block_tokens: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             splitter, block, number = PreTokens(), _Block(), None
@@ -165,10 +193,10 @@ def _explode(keys: list[str], kind: int, block_tokens: int, buckets: int):
                         number = part.column("__part")[0].as_py() << 32
                     block.add(part.select(keys), part.column("__text"), splitter)
                     if block.tokens >= block_tokens:
-                        yield from block.rows(number, buckets, kind)
+                        yield from block.rows(number, buckets)
                         number, block = number + 1, _Block()
             if block.keys:
-                yield from block.rows(number, buckets, kind)
+                yield from block.rows(number, buckets)
 
         yield from _flushed(rows())
 
@@ -182,6 +210,9 @@ def _encode_words(encoder: Callable[[], Callable[[list[str]], list[list[int]]]])
             expand = zstandard.ZstdDecompressor()
             for batch in batches:
                 for kind, place, block, bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                    if kind == POSITIONS:
+                        yield kind, place, block, bucket, a, b
+                        continue
                     if place != current:
                         current, known = place, {}
                     blob = expand.decompress(a)
@@ -216,7 +247,7 @@ def _assemble(keys: list[str], schema: pa.Schema):
                     sizes.append(_unpack(b).astype(np.int64))
                     continue
                 table = pa.ipc.open_stream(expand.decompress(a)).read_all().combine_chunks()
-                numbers = _unpack(b).astype(np.int64)
+                numbers = _unpack_words(b)
                 words = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
                 lengths = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
                 starts = np.cumsum(lengths) - lengths
@@ -271,11 +302,9 @@ def encode(
     buckets = buckets or max(BUCKETS, partitions)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANKS)))
     rows = docs.select(*keys, F.col(text).alias("__text"), F.spark_partition_id().alias("__part"))
-    words, positions = (
-        rows.mapInArrow(_explode(list(keys), kind, block_tokens, buckets), _PACKED) for kind in (WORDS, POSITIONS)
-    )
-    by_word = words.repartition(partitions, "place").sortWithinPartitions("place")
-    encoded = by_word.mapInArrow(_encode_words(tiktoken_encoder(ranks)), _PACKED).unionByName(positions)
+    blocks = rows.mapInArrow(_explode(list(keys), block_tokens, buckets), _PACKED)
+    by_word = blocks.repartition(partitions, "place").sortWithinPartitions("place")
+    encoded = by_word.mapInArrow(_encode_words(tiktoken_encoder(ranks)), _PACKED)
     order = ["block", F.col("kind").desc(), "bucket"]
     by_block = encoded.repartition(partitions, "block").sortWithinPartitions(*order)
     fields = [StructField(k, docs.schema[k].dataType) for k in keys]

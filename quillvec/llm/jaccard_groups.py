@@ -17,8 +17,8 @@ one class, decided by a 64-bit key of the set. The rest works on classes, and fi
 
 Every comparison is exact, on whole texts. Links and components stay DataFrames.
 
-Rows are told apart by their place in the scan, so the input must give the same partitions and rows whenever it is
-read, as a scan or a checkpoint does.
+Rows are told apart by numbers. These are given once, and written with ids and texts to the shared folder; every pass reads
+that table. So the input may come in other partitions or another order whenever it is read.
 
 Defined cases: a text with fewer than five words has its whole word sequence as its one shingle; a null text or one
 without words has no shingle and links with nothing; repeated ids and rows without id are documents of their own (a component's id is
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.textops import Words, mix, powers, slices
-from quillvec.session import durable
+from quillvec.session import durable, stored
 
 WIDTH = 5
 PERCENT = 75
@@ -355,10 +355,9 @@ def components(links: DataFrame) -> DataFrame:
 # -- the operator ------------------------------------------------------------------------------
 
 
-def classes_and_links(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(``row, id, n, class`` of every document, ``node, comp`` of the classes with links or None)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(``row, id, n, class`` of every document, ``node, comp`` of the classes with links or None) of stored ``row, id, text``."""
+    spark = rows.sparkSession
     profiles = durable(rows.mapInArrow(_profiles(width), _PROFILE))
     documents = profiles.where(F.col("row").isNotNull()).select("row", "id", "n", "class")
     prefixes = F.expr(f"n - ({percent} * n + 99) div 100 + (n + {SLACK - 1}) div {SLACK}")
@@ -475,8 +474,14 @@ def _with_minhashes(width: int):
 def link_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """``(row, key, n_shingles, component_id)``; ``row`` is the document's place in the scan."""
-    documents, comps = classes_and_links(docs, key, text, width, percent)
+    """``(row, key, n_shingles, component_id)``; ``row`` is a number of the document."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return components_of(stored(rows, "jaccard-rows"), key, width, percent)
+
+
+def components_of(rows: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``link_components`` of rows that are stored as ``row, id, text``."""
+    documents, comps = classes_and_links(rows, width, percent)
     if comps is None:
         named = documents.withColumn("comp", F.col("class"))
     else:
@@ -495,10 +500,10 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that of the smallest id (and place), and all without shingles."""
+    """One document of each component, that of the smallest id (and row number), and all without shingles."""
     place = "__row"
-    found = link_components(docs)
+    rows = stored(docs.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
+    found = components_of(rows.select(F.col(place).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text"))
     best = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     dropped = found.where("comp IS NOT NULL").join(best, "comp").where(F.col("row") != F.col("best.row")).select("row")
-    rows = docs.withColumn(place, F.monotonically_increasing_id())
     return rows.join(dropped.withColumnRenamed("row", place), place, "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,22 @@ def test_jaccard_awkward_rows(spark):
     assert {r.component_id for r in jaccard.link_components(lonely).collect()} == {5, 6, 8}
 
 
+def test_rows_that_move_between_scans(spark):
+    def other_order(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            yield batch.take(pa.array(rng.permutation(batch.num_rows)))
+
+    rows = near_copies(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    moving = docs.mapInArrow(other_order, docs.schema)
+    want = brute_components(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(moving).collect())
+    assert got == sorted(want)
+    kept = [(r.doc_id, r.text) for r in jaccard.stage(spark, moving, FOLDER).collect()]
+    assert sorted(kept) == sorted((name, text) for (name, text), (_, _, least) in zip(rows, want) if name == least)
+
+
 def test_components_of_a_long_path(spark):
     n = 70
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(200, 201)], "a bigint, b bigint")

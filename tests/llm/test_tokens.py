@@ -46,6 +46,25 @@ def test_bpe_digests(spark):
     assert got == sorted(bpe.brute_force(t) for _, t in ROWS)
 
 
+def test_bpe_of_rows_that_move_between_scans(spark):
+    def other_order(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            yield batch.take(pa.array(rng.permutation(batch.num_rows)))
+
+    rows = [(k, f"word{k} only{k}") for k in range(400)]
+    docs = table(spark, rows).repartition(2)
+    encoded = bpe.encode(docs.mapInArrow(other_order, docs.schema), block_tokens=20, buckets=3)
+    got = sorted((r.doc_id, bytes(r.bytes).decode()) for r in bpe.decode(encoded).collect())
+    assert got == rows
+
+
+@pytest.mark.parametrize("words, length", [(0, 0), (1, 5), (300, 4000), (30000, 60000)])
+def test_word_numbers_round_trip(words, length):
+    numbers = (np.random.default_rng(words).random(length) ** 3 * words).astype(np.uint32)
+    assert (bpe._unpack_words(bpe._pack_words(numbers)) == numbers).all()
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.decode(bpe.encode(table(spark, []))).count() == 0
 
