@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.session import durable
+
 
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``; null for a null key."""
@@ -14,19 +18,25 @@ def remainder(key: str, divisor: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, key: str = "doc_id"):
     """At most ``per_class`` ``(text, label)`` rows of each label value, as an Arrow table on the driver.
 
-    The rows with the smallest hash of their key are taken, texts of more than ``longest`` bytes
-    not at all: at most ``classes * per_class * longest`` bytes. A key with several labels has the greatest.
+    Of the keys with a text of at most ``longest`` bytes those with the smallest hash are taken: at most ``classes * per_class * longest`` bytes. A key with several labels has the greatest.
+    A label value without any such text is warned of.
     """
     once = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     once = once.groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     spark = docs.sparkSession
+    fits = docs.where(F.octet_length("text") <= longest)
+    values = {value for (value,) in once.select("__y").distinct().collect()}
+    once = durable(once.join(fits.select(key), key, "left_semi"))
+    found = {value for (value,) in once.select("__y").distinct().collect()}
+    if values - found:
+        warnings.warn(f"{label}: no text of at most {longest} bytes for {sorted(values - found)}", stacklevel=2)
     chosen = None
-    for (value,) in once.select("__y").distinct().collect():
+    for value in sorted(found):
         some = once.where(F.col("__y") == value).orderBy(F.xxhash64(key), key).limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
         return spark.createDataFrame([], "text string, y int").toArrow()
     # per_class rows per class, whatever the size of the tables
     few = F.broadcast(chosen.withColumnRenamed(key, "__key"))
-    texts = docs.select(F.col(key).alias("__key"), "text").where(F.octet_length("text") <= longest)
+    texts = fits.select(F.col(key).alias("__key"), "text")
     return texts.join(few, "__key").select("text", F.col("__y").alias("y"), "__key").orderBy("__key", "text").drop("__key").toArrow()

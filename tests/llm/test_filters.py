@@ -14,6 +14,7 @@ from quillvec.llm import langid_ftrl as langid
 from quillvec.llm import quality_ordinal as quality
 from quillvec.llm import toxicity_crf as toxicity
 from quillvec.llm import url_markov as urls
+from quillvec.llm.labelled import labelled_sample
 
 FOLDER = "/root/testdata/sf0.01"
 AWKWARD = [(None, "a null id"), (7, None), (8, ""), (9, " \n"), (10, "12 !!"), (11, "wort " * 30000), (12, "same"), (12, "same")]
@@ -96,6 +97,15 @@ def test_toxicity_held_out(spark):
     assert recall >= 0.7 and precision >= 0.7
 
 
+def test_long_texts_leave_their_places_to_others(spark):
+    docs = spark.createDataFrame([(i, "long " * 100 if i % 5 else f"short {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(260)], "doc_id bigint, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 12, 50).to_pylist()
+    assert sorted(r["y"] for r in got) == [0] * 12 + [1] * 12
+    with pytest.warns(UserWarning, match=r"toxic: no text .* \[1\]"):
+        labelled_sample(docs.where("doc_id % 2 = 0"), labels, "toxic", 12, 50)
+
+
 # -- awkward rows --------------------------------------------------------------------------
 
 
