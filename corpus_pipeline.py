@@ -1,7 +1,7 @@
 """A training-corpus pipeline: five stages over `documents`, each on all that the one before kept.
 
 1. toxicity: documents that the random field scores 0.7 or more go;
-2. language: documents without a recognised language go;
+2. language: documents without a recognised language (`und`) go, whatever the score; if no language can be learnt, all stay;
 3. near_duplicates: one document of each component of the 5-word shingle join stays;
 4. decontamination: documents with a passage of a benchmark item go;
 5. tokens: the rest is encoded by byte-level BPE, and decoded again to record what the ids stand for.

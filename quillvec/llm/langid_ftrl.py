@@ -34,7 +34,6 @@ PER_LANG = 1000
 LONGEST = 10_000
 MAX_LANGS = 1000
 UNKNOWN = "und"
-KEEP = 0.4
 SCALE = 50.0
 PIECES = 64
 SLICE = 2 << 20
@@ -280,6 +279,8 @@ def query(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with some confidence, with their own columns."""
-    found = predict(docs, train(learnable(docs)))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= KEEP)).select(*docs.columns)
+    """Documents whose language is recognised, with their own columns; all, if there is no language to learn."""
+    model = train(learnable(docs))
+    if not model.langs:
+        return docs
+    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

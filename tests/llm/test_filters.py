@@ -194,6 +194,15 @@ def test_language_held_out(spark):
     assert np.mean([a == b for a, b in got]) >= 0.97
 
 
+def test_language_stage_rejects_only_und(spark):
+    # five languages with the same words: no score reaches 0.4
+    rows = [(i, f"wort satz text{i % 3}", f"l{i // 3 % 5}") for i in range(150)] + [(200, "12 !!", "l1"), (201, None, "l2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in langid.stage(spark, docs, FOLDER).collect()) == list(range(150))
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.stage(spark, unnamed, FOLDER).count() == len(rows)
+
+
 # -- URLs ----------------------------------------------------------------------------------
 
 
