@@ -4,7 +4,8 @@ Grams are the 1 to 4 code points of a word between its two borders, hashed; a gr
 the text's grams times its inverse document frequency. Document frequencies are counted over all
 documents that may be learnt from: each task adds up one vector, the vectors are summed in pieces. The classes' weights are
 trained with follow-the-regularised-leader (proximal, per-coordinate rates) under an L1 and an L2 penalty on at
-most ``PER_LANG`` documents per language; a temperature fitted on documents kept back calibrates the
+most ``PER_LANG`` documents per language, of at most ``LONGEST`` bytes; a language with fewer than ``FEW`` of these is filled up to
+``FEW`` with its shortest longer texts, whole; a temperature fitted on documents kept back calibrates the
 probabilities.
 
 As a text's score is a mean over its grams, every distinct word needs its grams once. Prediction is a
@@ -32,6 +33,7 @@ BITS = 17
 LENGTHS = (1, 2, 3, 4)
 PER_LANG = 1000
 LONGEST = 10_000
+FEW = 20
 MAX_LANGS = 1000
 UNKNOWN = "und"
 SCALE = 50.0
@@ -225,19 +227,28 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST, max
     """A model from all ``(doc_id, text, lang)`` rows with a language, of which there are at most ``max_langs``."""
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     frequency, documents = document_frequencies(named)
-    langs = [r[0] for r in named.select("lang").distinct().limit(max_langs + 1).collect()]
+    short = F.octet_length("text") <= longest
+    langs = named.groupBy("lang").agg(F.countDistinct(F.when(short & F.col("doc_id").isNotNull(), F.col("doc_id"))))
+    langs = dict(map(tuple, langs.limit(max_langs + 1).collect()))
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    fits = named.where(F.octet_length("text") <= longest)
-    chosen = None
+    fits, chosen = named.where(short), None
     for lang in sorted(langs):
         # only ids are sorted; the texts follow by a join with at most per_lang ids
         some = fits.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
         chosen = some if chosen is None else chosen.unionByName(some)
+    few = min(FEW, per_lang)
+    longer = None
+    for lang in sorted(x for x, n in langs.items() if n < few):
+        some = named.where(~short & (F.col("lang") == lang)).select("doc_id", "lang", "text", F.octet_length("text").alias("__size"))
+        some = some.orderBy("__size", F.xxhash64("doc_id"), "doc_id").limit(few - langs[lang]).select("text", "lang", "doc_id")
+        longer = some if longer is None else longer.unionByName(some)
     if chosen is None:
         return Model(np.zeros((1 << BITS, 0)), np.zeros(0), [], 1.0)
     ids = F.broadcast(chosen.distinct())
-    texts = fits.join(ids, "doc_id").select("text", "lang", "doc_id").orderBy("doc_id", "lang", "text").drop("doc_id").toArrow()
+    texts = fits.join(ids, "doc_id").select("text", "lang", "doc_id")
+    texts = texts if longer is None else texts.unionByName(longer)
+    texts = texts.orderBy("doc_id", "lang", "text").drop("doc_id").toArrow()
     return fit(texts, frequency, documents)
 
 

@@ -203,6 +203,14 @@ def test_language_stage_rejects_only_und(spark):
     assert langid.stage(spark, unnamed, FOLDER).count() == len(rows)
 
 
+def test_language_of_long_texts_only(spark):
+    rows = [(i, f"wort satz text{i % 3}", "de") for i in range(40)] + [(i, f"mot phrase texte{i % 3} " * 20, "fr") for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, longest=100)
+    assert model.langs == ["de", "fr"]
+    assert all(r.lang_pred == r.lang for r in langid.predict(docs, model).collect())
+
+
 # -- URLs ----------------------------------------------------------------------------------
 
 
