@@ -18,7 +18,8 @@ def remainder(key: str, divisor: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, key: str = "doc_id"):
     """At most ``per_class`` ``(text, label)`` rows of each label value, as an Arrow table on the driver.
 
-    Of the keys with a text of at most ``longest`` bytes those with the smallest hash are taken: at most ``classes * per_class * longest`` bytes. A key with several labels has the greatest.
+    Of the keys with a text of at most ``longest`` bytes those with the smallest hash are taken: at most ``classes * per_class * longest`` bytes. A key with several labels has the greatest,
+    one with several texts the one of the smallest hash.
     A label value without any such text is warned of.
     """
     once = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -39,4 +40,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # per_class rows per class, whatever the size of the tables
     few = F.broadcast(chosen.withColumnRenamed(key, "__key"))
     texts = fits.select(F.col(key).alias("__key"), "text")
-    return texts.join(few, "__key").select("text", F.col("__y").alias("y"), "__key").orderBy("__key", "text").drop("__key").toArrow()
+    one = texts.join(few, "__key").groupBy("__key", "__y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("text", F.col("__y").alias("y"), "__key").orderBy("__key").drop("__key").toArrow()

@@ -235,7 +235,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST, max
     fits, chosen = named.where(short), None
     for lang in sorted(langs):
         # only ids are sorted; the texts follow by a join with at most per_lang ids
-        some = fits.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
+        some = fits.where((F.col("lang") == lang) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
         chosen = some if chosen is None else chosen.unionByName(some)
     few = min(FEW, per_lang)
     longer = None
@@ -245,8 +245,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST, max
         longer = some if longer is None else longer.unionByName(some)
     if chosen is None:
         return Model(np.zeros((1 << BITS, 0)), np.zeros(0), [], 1.0)
-    ids = F.broadcast(chosen.distinct())
-    texts = fits.join(ids, "doc_id").select("text", "lang", "doc_id")
+    # one text of each id and language, however many rows it has
+    texts = fits.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+    texts = texts.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "lang", "doc_id")
     texts = texts if longer is None else texts.unionByName(longer)
     texts = texts.orderBy("doc_id", "lang", "text").drop("doc_id").toArrow()
     return fit(texts, frequency, documents)

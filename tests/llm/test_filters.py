@@ -106,6 +106,17 @@ def test_long_texts_leave_their_places_to_others(spark):
         labelled_sample(docs.where("doc_id % 2 = 0"), labels, "toxic", 12, 50)
 
 
+def test_one_text_of_each_id_is_learnt_from(spark, monkeypatch):
+    rows = [(i, f"wort {i}", "de") for i in range(10)] + [(3, f"mehr {k}", "de") for k in range(50)] + [(3, "mot", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, toxic int")
+    assert sorted(r["y"] for r in labelled_sample(docs, labels, "toxic", 5, 50).to_pylist()) == [0] * 5 + [1] * 5
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, *_: seen.extend(texts.column("lang").to_pylist()))
+    langid.train(docs, per_lang=10)
+    assert sorted(seen) == ["de"] * 10 + ["fr"]
+
+
 # -- awkward rows --------------------------------------------------------------------------
 
 
