@@ -6,13 +6,16 @@ from quillvec.llm import (
     ann_pstable,
     bpe_words,
     decontam_pigeonhole,
+    dedup_perfect_hash,
     jaccard_groups,
     langid_ftrl,
     quality_ordinal,
+    resample_table,
     shard_interleave,
     tokens_bitplane,
     toxicity_crf,
     url_markov,
+    whitening_blocks,
 )
 
 QUERIES = {
@@ -26,6 +29,12 @@ QUERIES = {
     "op8_tokens_bitplane": tokens_bitplane.query,
     "op9_ann_pstable": ann_pstable.query,
     "op10_jaccard_groups": jaccard_groups.query,
+    "op11_whitening_blocks": whitening_blocks.query,
+    "op12_dedup_perfect_hash": dedup_perfect_hash.query,
+    "op13_resample_table": resample_table.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_dedup_perfect_hash": dedup_perfect_hash.SQL,
+    "op13_resample_table": resample_table.SQL,
+}
