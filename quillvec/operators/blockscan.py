@@ -155,7 +155,7 @@ class BlockTopK:
             pair = self._narrowed(np.concatenate(pairs), np.concatenate(scores), n, margin)
         if len(pair):
             q, v = pair // n, pair % n
-            self._merge(q, exact_keys(self.queries, q, vectors, v, self.metric), vec_ids[v])
+            self.merge(q, exact_keys(self.queries, q, vectors, v, self.metric), vec_ids[v])
 
     def _candidates(self, rows, queries, block, squares, margin):
         """Pairs that may be among the best k, with their approximate scores."""
@@ -194,7 +194,7 @@ class BlockTopK:
         floor[q[full]] = scores[full] - 2.0 * margin[q[full]]
         return pairs[scores >= floor[q]]
 
-    def _merge(self, q, keys, ids) -> None:
+    def merge(self, q, keys, ids) -> None:
         q = np.concatenate([self.best_q, q])
         keys = np.concatenate([self.best_key, keys])
         ids = np.concatenate([self.best_id, ids])

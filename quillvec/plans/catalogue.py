@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import display, text, vector
-from quillvec.operators import blockscan, chunking, corpus, embedding, ivf, lsh, ordinal, recall, report, search, verify
+from quillvec.operators import blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, recall, report, search, verify
 from quillvec.plans import sweep
-from quillvec.session import scratch_path
+from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
 from quillvec.sources import repos, results, vectors
 from quillvec.sources.tables import spread
@@ -331,6 +331,32 @@ def lsh_search(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(lsh.lsh_search(label_means(spark, folder), index, planes, LSH_BITS, 10))
 
 
+@query
+def graph_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """A walk that keeps as many vectors as a shard holds meets all of them: are all reached, and is the answer exact?"""
+    index = graph.graph_build(stored_vectors(spark, folder), scratch_path(spark, "graph"))
+    walked = graph.graph_walk(label_means(spark, folder), index, 100, ef=graph.SHARD_ROWS)
+    return _hits(graph.graph_search(walked, 100))
+
+
+@query
+def graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks from every vector whose id is divisible by 20, by both metrics at the benchmark's ``ef``: recall of 10 and the
+    share of vectors compared, as flags."""
+    base = stored_vectors(spark, folder)
+    asked = base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    n = F.lit(base.count())
+    rows = []
+    for metric in blockscan.METRICS:
+        index = graph.graph_build(base, scratch_path(spark, "graph"), metric)
+        walked = durable(graph.graph_walk(asked, index, 10, metric=metric))
+        met = graph.visits(walked).agg(F.count("*").alias("n_queries"), F.avg("visited").alias("visited"))
+        found = recall.recall_at_k(graph.graph_search(walked, 10, metric), search.knn(asked, base, 10, metric), [10])
+        flags = met.select("n_queries", (F.col("visited") < n).alias("visited_ok"), F.lit(metric).alias("metric"))
+        rows.append(flags.join(found.select((F.col("recall") >= 0.9).alias("recall_ok"), "n_queries"), "n_queries"))
+    return vectors.stack(rows).select("metric", "n_queries", "recall_ok", "visited_ok")
+
+
 @query
 def search_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Methods on two dimensions (prefixes) with the benchmark's 1,000 queries: what was measured, as flags."""

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.operators.graph import DEGREE, EF, graph_build, graph_search, graph_walk
 from quillvec.operators.ivf import ivf_build, ivf_search, ivf_train
 from quillvec.operators.lsh import hyperplanes, lsh_assign, lsh_search
 from quillvec.operators.recall import recall_at_k
@@ -68,6 +69,15 @@ def signed_planes(tables: int = 16, bits: int = 8, seed: int = 0) -> Method:
     )
 
 
+def neighbour_graphs(ef: int = EF, degree: int = DEGREE) -> Method:
+    def build(vectors: DataFrame, dim: int):
+        return graph_build(vectors, scratch_path(vectors.sparkSession, "graph"), "ip", degree=degree)
+
+    return Method(
+        "neighbour graph", f"ef={ef}", build, lambda q, built, k: graph_search(graph_walk(q, built, k, ef), k)
+    )
+
+
 TIMING_ROWS = "library string, index_type string, dimension int, query_id int, seconds double"
 FAILURE = "library string, index_type string, dimension int, failure string"
 
