@@ -331,6 +331,14 @@ def lsh_search(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(lsh.lsh_search(label_means(spark, folder), index, planes, LSH_BITS, 10))
 
 
+@query
+def lsh_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same answers as ``lsh_search``, from a posting table by bucket."""
+    planes = formula_planes(spark, folder)
+    postings = lsh.lsh_postings(stored_vectors(spark, folder), planes, LSH_BITS, scratch_path(spark, "postings"), folders=64)
+    return _hits(lsh.posting_search(label_means(spark, folder), postings, planes, 10))
+
+
 @query
 def graph_exact(spark: SparkSession, folder: str) -> DataFrame:
     """A walk that keeps as many vectors as a shard holds meets all of them: are all reached, and is the answer exact?"""
