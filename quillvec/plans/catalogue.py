@@ -19,7 +19,7 @@ from quillvec.operators import balls, blockscan, chunking, corpus, embedding, gr
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
-from quillvec.sources import repos, results, vectors
+from quillvec.sources import filetree, repos, results, vectors
 from quillvec.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,6 +442,50 @@ def repo_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return repos.repo_catalog(table(spark, folder, "documents").select(url, F.col("source").alias("repo_name")))
 
 
+def _written_tree(spark: SparkSession, folder: str) -> str:
+    """Every document as a file, some with bytes that are no UTF-8, CRLF line ends or hidden names."""
+    doc, body = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    suffix = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (doc % len(EXTENSIONS) + 1).cast("int"))
+    name = F.concat(F.when(doc % 5 == 0, "_").when(doc % 7 == 0, ".").otherwise(""), F.lit("d"), doc.cast("string"), suffix)
+    stray = F.unhex(F.lit("FFFE41C3"))
+    content = F.when(doc % 6 == 0, F.concat(stray, body)).when(doc % 4 == 0, F.concat(body, F.unhex(F.lit("0D0A780D79E2")))).otherwise(body)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), name)
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+    root = scratch_path(spark, "tree")
+    failed = filetree.write_file_tree(rows.select(path.alias("path"), content.alias("content")), root).count()
+    if failed:
+        raise OSError(f"{failed} files were not written")
+    return root
+
+
+def _below(root: str) -> Column:
+    return F.substr("path", F.lit(len(filetree.local_path(root)) + 2))
+
+
+@query
+def file_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Written files as the data source lists them: suffix and size are pushed, no file is opened."""
+    root = _written_tree(spark, folder)
+    found = filetree.read_file_tree(spark, root, content="false").where("extension IN ('.py', '.md', '.c', '.gz') AND size >= 200")
+    return found.select("repo_name", _below(root).alias("path"), "extension", "size")
+
+
+@query
+def file_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Written files read back: bytes that are no UTF-8 are gone, all line ends are line feeds."""
+    root = _written_tree(spark, folder)
+    found = filetree.read_file_tree(spark, root)
+    return found.select(_below(root).alias("path"), F.md5("content").alias("file_hash"), F.length("content").alias("n_chars"))
+
+
+@query
+def file_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of too many characters are rows with a reason."""
+    root = _written_tree(spark, folder)
+    found = filetree.read_file_tree(spark, root, max_chars=5000).where(F.col("error").isNotNull())
+    return found.select("repo_name", _below(root).alias("path"), "error")
+
+
 @query
 def doc_filter(spark: SparkSession, folder: str) -> DataFrame:
     return usable_files(spark, folder).select("doc_id", F.length("content").cast("int").alias("n_chars"))

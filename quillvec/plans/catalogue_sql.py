@@ -129,6 +129,18 @@ UNION ALL SELECT '', 99, 0, false, false, 'no vectors or no queries of dimension
 
 # -- corpus --------------------------------------------------------------------------------
 
+TREE = f"""tree AS (SELECT *, octet_length(encode(body)) + CASE WHEN doc_id % 6 = 0 THEN 4 WHEN doc_id % 4 = 0 THEN 6 ELSE 0 END AS size,
+  regexp_replace(CASE WHEN doc_id % 6 = 0 THEN 'A' || body WHEN doc_id % 4 = 0 THEN body || chr(13) || chr(10) || 'x' || chr(13) || 'y'
+    ELSE body END, '\\r\\n?', chr(10), 'g') AS content
+  FROM (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, 'none') AS repo_name, {_list(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1] AS suffix,
+    coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CASE WHEN doc_id % 5 = 0 THEN '_' WHEN doc_id % 7 = 0 THEN '.' ELSE '' END
+      || 'd' || doc_id || {_list(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1] AS path FROM documents))"""
+SQL["file_listing"] = f"""WITH {TREE} SELECT repo_name, path, extension, size::BIGINT AS size FROM (SELECT *,
+  CASE WHEN suffix IN ('.', '') THEN '' WHEN suffix = '.tar.gz' THEN '.gz' ELSE lower(suffix) END AS extension FROM tree)
+WHERE size >= 200 AND extension IN ('.py', '.md', '.c', '.gz')"""
+SQL["file_contents"] = f"WITH {TREE} SELECT path, md5(content) AS file_hash, length(content)::INTEGER AS n_chars FROM tree"
+SQL["file_rejects"] = f"""WITH {TREE} SELECT repo_name, path, 'has 5000 characters or more' AS error FROM tree WHERE length(content) >= 5000"""
+
 FILES = f"""files AS (SELECT doc_id, source AS repo_name, n_chars AS size,
   CASE WHEN doc_id % 17 = 0 THEN source || '/.git/' || doc_id
     WHEN doc_id % 13 = 0 THEN source || '/.github/' || doc_id || '.yml'
