@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillvec.session import path_exists
+
 BATCH_SIZE = 2048
 
 #: Called once per task; returns the function that embeds one batch of token lists.
@@ -90,6 +92,50 @@ def rejected(df: DataFrame) -> DataFrame:
     return df.filter(F.col("embed_error").isNotNull()).drop("embedding")
 
 
+def embed_run(
+    df: DataFrame,
+    make_encoder: EncoderFactory,
+    dim: int,
+    path: str,
+    run: str,
+    key: Sequence[str],
+    column: str = "tokens",
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """One run over the rows that no run before has embedded; gives the run's rows, failed ones with their ``embed_error``.
+
+    Vectors and failures of a run are one write below ``path/run=<run>``: the ledger that ``embedded_rows`` and ``embed_failures`` read. A
+    run that broke off has left nothing there, and a repeated one replaces its own rows; failed rows come again in the next run by an anti-join.
+    """
+    spark = df.sparkSession
+    done = embedded_rows(spark, path, df.schema).where(F.col("run") != run).select(*key)
+    todo = df.join(done, list(key), "left_anti")
+    target = f"{path}/run={run}"
+    embed(todo, make_encoder, dim, column, batch_size).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    return spark.read.schema(_ledger(df.schema)).parquet(target)
+
+
+def _ledger(rows: T.StructType) -> T.StructType:
+    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())]
+    return T.StructType(rows.fields + added)
+
+
+def _runs(spark: SparkSession, path: str, rows: T.StructType) -> DataFrame:
+    schema = T.StructType(_ledger(rows).fields + [T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def embedded_rows(spark: SparkSession, path: str, rows: T.StructType) -> DataFrame:
+    """All vectors of all runs, with the ``run`` that made each; ``rows`` is the schema of what was embedded."""
+    return embedded(_runs(spark, path, rows))
+
+
+def embed_failures(spark: SparkSession, path: str, rows: T.StructType, key: Sequence[str]) -> DataFrame:
+    """``(run, *key, embed_error)`` of failures that no later run has mended."""
+    done = embedded_rows(spark, path, rows).select(*key)
+    return rejected(_runs(spark, path, rows)).select("run", *key, "embed_error").join(done, list(key), "left_anti")
+
+
 class HashingEncoder:
     """Offline stand-in for a model: token counts in ``dim`` MD5 buckets, scaled to unit length."""
 

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.session import durable
+from quillvec.session import durable, path_exists
+
+_COUNTERS = "run string, first bigint, n bigint"
 
 _ROW_BITS = 33  # monotonically_increasing_id holds the partition above 33 bits of row number
 
@@ -46,3 +48,29 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "idx", partitions:
 def with_batch(df: DataFrame, batch_size: int, ordinal: str = "idx", name: str = "batch_no") -> DataFrame:
     """Adds the number (from 0) of the fixed-size batch a numbered row falls in."""
     return df.withColumn(name, F.floor((F.col(ordinal) - 1) / batch_size).cast("bigint"))
+
+
+def counters(df: DataFrame, path: str) -> DataFrame:
+    """``(run, first, n)`` of every finished run below ``path``; ``df`` only lends its session."""
+    spark, place = df.sparkSession, f"{path}/counters"
+    found = path_exists(spark, place)
+    return spark.read.schema(_COUNTERS).parquet(place) if found else spark.createDataFrame([], _COUNTERS)
+
+
+def number_run(df: DataFrame, order: list[str], path: str, run: str, name: str = "idx") -> DataFrame:
+    """The rows of one run numbered on from the runs before, stored below ``path``; the first run starts at 1.
+
+    A run counts once its counter is written, which is the last step. One that is repeated gives the rows it stored before, whatever
+    ``df`` is now, so a replayed micro-batch changes nothing; one that broke off is written anew. Runs come one after another:
+    for streams, ``writeStream.foreachBatch(lambda df, n: number_run(df, order, path, str(n)))``.
+    """
+    held = counters(df, path)
+    target = f"{path}/rows/run={run}"
+    last, mine = held.agg(F.max(F.col("first") + F.col("n")), F.count_if(F.col("run") == run)).first()
+    if not mine:
+        first = last or 1
+        numbered = with_ordinal(df, order, name).withColumn(name, F.col(name) + F.lit(first - 1))
+        numbered.write.mode("overwrite").parquet(target)
+        n = df.sparkSession.read.schema(numbered.schema).parquet(target).count()
+        df.sparkSession.createDataFrame([(run, first, n)], _COUNTERS).coalesce(1).write.mode("append").parquet(f"{path}/counters")
+    return df.sparkSession.read.parquet(target)

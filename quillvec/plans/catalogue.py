@@ -19,7 +19,7 @@ from quillvec.operators import balls, blockscan, chunking, corpus, embedding, gr
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
-from quillvec.sources import filetree, repos, results, vectors
+from quillvec.sources import filetree, repos, results, shards, vectors
 from quillvec.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,6 +528,39 @@ def embed_batches(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "chunk_no", used, weighted_bits("embedding", "weighted"))
 
 
+class Faulty:
+    """An encoder that fails on a batch with a text of a multiple of ten tokens."""
+
+    def __init__(self, dim: int):
+        self.good = embedding.HashingEncoder(dim)
+
+    def __call__(self):
+        def encode(batch: list[list[str]]):
+            if any(len(words) % 10 == 0 for words in batch):
+                raise RuntimeError("a multiple of ten tokens")
+            return self.good()(batch)
+
+        return encode
+
+
+@query
+def embed_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """What a faulty encoder leaves: the failed rows with their reason (batches of one row, so that no others fail with them)."""
+    tokens, path = document_tokens(spark, folder), scratch_path(spark, "embedded")
+    embedding.embed_run(tokens, Faulty(HASH_DIM), HASH_DIM, path, "1", ["doc_id", "chunk_no"], batch_size=1)
+    return embedding.embed_failures(spark, path, tokens.schema, ["doc_id", "chunk_no"])
+
+
+@query
+def embed_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """A run with the faulty encoder and one with a good one: each chunk has one vector, in the run that first could make it."""
+    tokens, path = document_tokens(spark, folder), scratch_path(spark, "embedded")
+    embedding.embed_run(tokens, Faulty(HASH_DIM), HASH_DIM, path, "1", ["doc_id", "chunk_no"], batch_size=1)
+    embedding.embed_run(tokens, embedding.HashingEncoder(HASH_DIM), HASH_DIM, path, "2", ["doc_id", "chunk_no"])
+    done = embedding.embedded_rows(spark, path, tokens.schema)
+    return done.select("doc_id", "chunk_no", F.col("run").cast("int").alias("run"), weighted_bits("embedding", "weighted"))
+
+
 @query
 def embed_hashing(spark: SparkSession, folder: str) -> DataFrame:
     done = embedding.embed_hashing(document_tokens(spark, folder), 64)
@@ -589,6 +622,24 @@ def index_range(spark: SparkSession, folder: str) -> DataFrame:
     return sources.index_range(index, 100, 700)
 
 
+@query
+def index_range_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A range of a stored index, read from the files that overlap it."""
+    numbered = sources.number_files(source_files(spark, folder).select("repo_name", "path"))
+    target = scratch_path(spark, "ranged-index")
+    sources.write_ranged_index(numbered, target, files=16)
+    return sources.read_ranged_index(spark, target, 50, 120)
+
+
+@query
+def numbered_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs of files, the second one repeated: numbers go on without gaps."""
+    rows, target = source_files(spark, folder).select("doc_id", "path"), scratch_path(spark, "numbered")
+    for run in (0, 1, 1, 2):
+        ordinal.number_run(rows.where(F.col("doc_id") % 3 == run).select("path"), ["path"], target, str(run))
+    return spark.read.schema("path string, idx bigint, run int").parquet(f"{target}/rows")
+
+
 @query
 def index_missing(spark: SparkSession, folder: str) -> DataFrame:
     index = sources.valid_index(sources.parse_index_lines(_index_lines(spark, folder)))
@@ -692,6 +743,18 @@ def vector_scan(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("vec_id", weighted_bits(vector.to_half(F.col("embedding")), "weighted"))
 
 
+@query
+def committed_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of exact size in two dimensions: the manifest beside what the files hold."""
+    target = scratch_path(spark, "shards")
+    rows = table(spark, folder, "embeddings").withColumn("dim", F.explode(F.lit([16, 64]).cast("array<int>")))
+    rows = rows.select("vec_id", "dim", F.slice("embedding", F.lit(1), F.col("dim")).alias("embedding"))
+    shards.write_shards(rows, target, max_rows=300)
+    held = shards.read_shards(spark, target).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]*/[^/]*$", 0))
+    held = held.groupBy("file").agg(F.count("*").alias("held"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+    return shards.read_manifest(spark, target).join(held, "file").select("dim", "shard", "file", "rows", "held", "first_id", "last_id")
+
+
 @query
 def worker_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Written apart by worker range and read back."""

@@ -196,11 +196,18 @@ halves AS (SELECT doc_id, chunk_no, b, {_half("x")} AS x FROM unit)
 SELECT doc_id, chunk_no, coalesce(n_used, 0)::INTEGER AS n_used, coalesce(weighted, 0)::BIGINT AS weighted
 FROM tokenized LEFT JOIN (SELECT doc_id, chunk_no, count(*) AS n_used,
   sum((b + 1) * (x * 16777216)::BIGINT) AS weighted FROM halves GROUP BY doc_id, chunk_no) USING (doc_id, chunk_no)"""
+SQL["embed_failures"] = f"""WITH {TOKENS} SELECT '1' AS run, doc_id, chunk_no, 'RuntimeError: a multiple of ten tokens' AS embed_error
+FROM tokenized WHERE len(tokens) % 10 = 0"""
+SQL["embed_resume"] = f"""WITH {TOKENS}, made AS ({SQL["embed_batches"].replace(f"WITH {TOKENS},", "WITH", 1)})
+SELECT doc_id, chunk_no, CASE WHEN len(tokens) % 10 = 0 THEN 2 ELSE 1 END::INTEGER AS run, weighted FROM tokenized JOIN made USING (doc_id, chunk_no)"""
 
 SUFFIX = r"lower(regexp_extract(parse_filename(path), '(?s)^.+(\.[^.]+)$', 1))"
 SQL["path_filter"] = f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT contains('/' || path, '/.git')"
 SQL["ext_class"] = f"WITH {FILES} SELECT doc_id, {SUFFIX} AS suffix, {SUFFIX} IN {_in(CODE_EXTENSIONS)} AS is_code FROM files"
 SQL["file_index"] = f"WITH {FILES} SELECT row_number() OVER (ORDER BY repo_name, path) AS idx, path FROM files"
+SQL["index_range_files"] = f"""WITH {FILES}, numbered AS (SELECT row_number() OVER (ORDER BY repo_name, path) AS idx, path FROM files)
+SELECT idx, path FROM numbered WHERE idx BETWEEN 50 AND 120"""
+SQL["numbered_runs"] = f"""WITH {FILES} SELECT path, row_number() OVER (ORDER BY doc_id % 3, path) AS idx, (doc_id % 3)::INTEGER AS run FROM files"""
 
 INDEX = f"""{FILES},
 lines AS (SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id || ' ' || path
@@ -251,6 +258,10 @@ SQL["vector_scan"] = f"""WITH flat AS (
 SELECT vec_id, sum(j * (({_half("x")}) * 16777216)::BIGINT)::BIGINT AS weighted FROM flat GROUP BY vec_id"""
 SQL["random_vectors"] = """SELECT vec_id, dim, true AS length_ok, true AS half_ok, true AS size_ok
 FROM embeddings, (SELECT unnest([16, 64])::INTEGER AS dim)"""
+SQL["committed_shards"] = """SELECT dim, shard, 'dim_' || dim || '/batch_' || lpad(shard::VARCHAR, 6, '0') || '.parquet' AS file,
+  count(*) AS rows, count(*) AS held, min(vec_id) AS first_id, max(vec_id) AS last_id
+FROM (SELECT vec_id, dim, (row_number() OVER (PARTITION BY dim ORDER BY vec_id) - 1) // 300 AS shard
+  FROM embeddings, (SELECT unnest([16, 64])::INTEGER AS dim)) GROUP BY dim, shard"""
 SQL["worker_shards"] = """SELECT (vec_id // 64)::INTEGER AS worker_id, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id
 FROM embeddings GROUP BY ALL"""
 SQL["random_moments"] = """SELECT dim, count(*) * dim AS components, true AS mean_ok, true AS deviation_ok

@@ -225,6 +225,35 @@ def write_file_index(numbered: DataFrame, path: str, mode: str = "error") -> Non
     index_lines(numbered).write.mode(mode).text(path)
 
 
+def write_ranged_index(numbered: DataFrame, path: str, files: int | None = None) -> None:
+    """The index as text in order of its numbers, and the first and last number of each file beside it.
+
+    ``path/lines`` has the lines, ``path/extents`` the table ``(file, first, last)``, written last.
+    """
+    ordered = numbered.repartitionByRange(*([files] if files else []), "idx").sortWithinPartitions("idx")
+    index_lines(ordered).write.text(f"{path}/lines")
+    spark = numbered.sparkSession
+    named = spark.read.text(f"{path}/lines").select("value", F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0).alias("file"))
+    number = F.substring_index("value", " : ", 1).cast("bigint")
+    extents = named.groupBy("file").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    extents.coalesce(1).write.parquet(f"{path}/extents")
+
+
+def ranged_files(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> list[str]:
+    """The index files that overlap a range: names only, one per file of the index."""
+    extents = spark.read.schema("file string, first bigint, last bigint").parquet(f"{path}/extents")
+    low = F.lit(True) if start is None else F.col("last") >= start
+    high = F.lit(True) if end is None else F.col("first") <= end
+    return [f"{path}/lines/{r.file}" for r in extents.where(low & high).orderBy("first").collect()]
+
+
+def read_ranged_index(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """``(idx, path)`` of a range, inclusive at both ends; files that do not overlap it are not opened."""
+    files = ranged_files(spark, path, start, end)
+    lines = spark.read.text(files) if files else spark.createDataFrame([], "value string")
+    return index_range(valid_index(parse_index_lines(lines)), start, end)
+
+
 def existing(index: DataFrame, files: DataFrame) -> DataFrame:
     return index.join(files.select("path"), "path", "left_semi")
 
