@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.textops import mix
+from quillvec.llm.textops import mix, shared
 from quillvec.session import durable
 
 TABLES, HASHES, PROBES = 12, 6, 150
@@ -161,10 +161,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _scan(vectors: DataFrame, blocks, k: int) -> DataFrame:
-    """The best ``k`` rows of every query in each task; ``blocks`` is a broadcast list of blocks of one length each."""
+    """The best ``k`` rows of every query in each task; ``blocks`` gives the broadcast list of blocks of one length each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(block, k) for block in blocks.value]
+        best = [Best(block, k) for block in blocks()]
         for batch in batches:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes).tolist():
@@ -234,7 +234,7 @@ def search(
                 if not got:
                     continue
                 ids, q = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
-                held = spark.sparkContext.broadcast([Block(ids, q, fitted[dim], probes)])
+                held = shared(spark, [Block(ids, q, fitted[dim], probes)])
                 hits = _scan(rows, held, k)
                 out = hits if out is None else out.unionByName(hits)
         return _ranked(out, k)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import remainder
-from quillvec.llm.textops import Hasher, WordTable, mix, powers, row_sums, runs, slices
+from quillvec.llm.textops import Hasher, WordTable, mix, powers, row_sums, runs, shared, slices
 
 BITS = 17
 LENGTHS = (1, 2, 3, 4)
@@ -261,10 +261,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.drop("lang_pred", "lang_score")
     schema = StructType([*rows.schema.fields, *StructType.fromDDL("lang_pred string, lang_score double").fields])
     arrow = to_arrow_schema(schema)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(held.value)
+        predictor = Predictor(held())
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 names, scores = predictor(part.column("text"))

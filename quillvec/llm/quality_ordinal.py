@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import labelled_sample, remainder
-from quillvec.llm.textops import WordTable, affix_ids, row_sums, slices
+from quillvec.llm.textops import WordTable, affix_ids, row_sums, shared, slices
 
 BITS = 16
 PREFIXES, SUFFIXES = (1, 2, 3), (1, 2, 3)
@@ -183,10 +183,10 @@ def score(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
     rows = docs.drop("expected_grade", "tail_probability")
     schema = StructType([*rows.schema.fields, *StructType.fromDDL("expected_grade double, tail_probability double").fields])
     arrow = to_arrow_schema(schema)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value, at_least)
+        scorer = Scorer(held(), at_least)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 columns = [*part.columns, *map(pa.array, scorer(part.column("text")))]

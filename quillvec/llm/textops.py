@@ -318,6 +318,19 @@ def slices(frame: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         row = last
 
 
+def shared(session, value):
+    """A broadcast that executors without this package can read: call it in a task for a copy of ``value``.
+
+    A plain broadcast names the class of an object; here the class travels with it, as task functions do.
+    """
+    import pickle
+
+    from pyspark import cloudpickle
+
+    held = session.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def process_cache(name: str, key: str, make):
     """What ``make()`` gave when a task of this worker process last asked for ``name`` with another key.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import labelled_sample, remainder
-from quillvec.llm.textops import WordTable, affix_ids, row_sums, slices
+from quillvec.llm.textops import WordTable, affix_ids, row_sums, shared, slices
 
 BITS = 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
@@ -297,10 +297,10 @@ def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     rows = docs.drop("toxic_score", "toxic_words", "toxic_spans")
     schema = StructType([*rows.schema.fields, *StructType.fromDDL(extra).fields])
     arrow = to_arrow_schema(schema)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(held.value)
+        tagger = Tagger(held())
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 score, marginal, offsets, starts, ends = tagger(part.column("text"))
