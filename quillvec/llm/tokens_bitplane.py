@@ -13,7 +13,8 @@ task and any store that Spark reads will do:
 * ``shards/``: ids per shard, from which the first id of each shard follows.
 
 A distinct pre-token is encoded once per worker process (at most ``CACHE_WORDS`` at a time): pre-tokens never
-merge across their borders, so this equals encoding the text at once. The order by document id is
+merge across their borders, so this equals encoding the text at once. A text that spells one of the tokenizer's added tokens is given to the
+library as a whole, which reads it as that token. The order by document id is
 a range partitioning whose bounds come from a fixed hash sample of the ids, so a repeated task sends each row to the
 same shard; rows that share an id are spread by the hash of their text.
 
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +86,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pre-tokens hold none, see __call__
+        self.marks = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = PreTokens()
         self.clear()
 
@@ -113,7 +116,23 @@ class WordIds:
         self.known.update(zip(hashes, range(at, at + len(ids))))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, offset of each row)."""
+        """(ids of all rows, offset of each row). A row with one of the tokenizer's added tokens is the library's alone."""
+        marked = np.zeros(len(column), bool)
+        for mark in self.marks:
+            marked |= pc.fill_null(pc.match_substring(column, mark), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._plain(column)
+        ids, offsets = self._plain(pc.if_else(pa.array(marked), pa.scalar(None, column.type), column))
+        self.tokenizer.encode_special_tokens = False
+        rows = np.flatnonzero(marked)
+        whole = [np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in rows.tolist()]
+        self.tokenizer.encode_special_tokens = True
+        sizes = np.diff(offsets)
+        at = np.repeat(offsets[rows], [len(w) for w in whole])
+        sizes[rows] = [len(w) for w in whole]
+        return np.insert(ids, at, np.concatenate(whole)), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out, counts = [], np.zeros(len(column), np.int64)
         for row, of, text, starts, ends, hashes in self.splitter.pieces(column):
             if len(self.known) > CACHE_WORDS:

@@ -86,7 +86,6 @@ def test_crc32_combine():
 def brute(rows):
     """(doc_id, start, n, crc) in ascending id order by the library alone."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path(files.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     key = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()))
     out, start = [], 0
     for i, t in sorted(rows, key=key):
@@ -130,3 +129,16 @@ def test_word_ids_forget(monkeypatch):
         ids, offsets = words(pa.array(texts))
         for k, text in enumerate(texts):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_in_texts_are_read_as_the_library_does(spark):
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}", "plain", None, "", f"é{mark}x\n" * 300, "<|endoftext", f"  {mark}  end", "plain again"]
+    words = files.WordIds(public_tokenizers.path(files.TOKENIZER))
+    library = Tokenizer.from_file(public_tokenizers.path(files.TOKENIZER))
+    ids, offsets = words(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
+    path = scratch_path(spark, "ids")
+    files.write_ids(table(spark, list(enumerate(texts))), path, shards=2)
+    assert sorted(map(tuple, files.read_digests(spark, path).collect()), key=lambda r: r[1]) == brute(list(enumerate(texts)))
