@@ -42,7 +42,7 @@ from quillvec.session import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 CHUNK_IDS = 1 << 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000
 SAMPLED = 100  # bounds are taken from about this many documents per shard
 _CHUNK = (
     "shard int, chunk int, first bigint, n int, width int, bits boolean, planes array<binary>, "
