@@ -142,3 +142,14 @@ def test_added_tokens_in_texts_are_read_as_the_library_does(spark):
     path = scratch_path(spark, "ids")
     files.write_ids(table(spark, list(enumerate(texts))), path, shards=2)
     assert sorted(map(tuple, files.read_digests(spark, path).collect()), key=lambda r: r[1]) == brute(list(enumerate(texts)))
+
+
+def test_numbers_of_hashes_that_share_places():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 60, 90_000).astype(np.uint64), np.arange(500, dtype=np.uint64) << np.uint64(40)]))
+    rng.shuffle(hashes)
+    table = files.Numbers()
+    for at in range(0, len(hashes), 7001):
+        table.add(hashes[at : at + 7001])
+    assert (table.find(hashes) == np.arange(len(hashes))).all() and table.count == len(hashes)
+    assert (table.find(hashes + np.uint64(1 << 62)) == -1).all() and len(table.find(hashes[:0])) == 0
