@@ -89,6 +89,11 @@ def verify_files(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
         F.min(F.size("embedding")).alias("file_dim"),
         F.max(F.size("embedding")).alias("max_dim"),
     )
+    return judge_files(files, within)
+
+
+def judge_files(files: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """``verify_files`` from one row per file: ``(*within, file, n_vectors, n_metadata, file_dim, max_dim)``."""
     good = (F.col("n_vectors") > 0) & (F.col("n_metadata") > 0)
     if within:
         best = files.filter(good).groupBy(*within).agg(F.min_by("file_dim", "file").alias("expected_dim"))

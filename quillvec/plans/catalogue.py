@@ -19,7 +19,7 @@ from quillvec.operators import balls, blockscan, chunking, corpus, embedding, gr
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
-from quillvec.sources import filetree, repos, results, shards, vectors
+from quillvec.sources import filetree, footers, repos, results, shards, vectors
 from quillvec.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -801,6 +801,18 @@ def verify_files(spark: SparkSession, folder: str) -> DataFrame:
     return verify.verify_files(shard_rows(spark, folder), ("dim",))
 
 
+@query
+def verify_footers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same verdicts as ``verify_files``, from the footers of the files alone."""
+    target = scratch_path(spark, "verified")
+    rows = footers.with_length(shard_rows(spark, folder)).withColumn("part", F.substring_index("file", "_", -1))
+    rows.repartition("dim", "part").drop("file", "file_size").write.partitionBy("dim", "part").parquet(target)
+    found = footers.read_footers(spark, target)
+    dim = F.regexp_extract("file", "/dim=([0-9]+)/", 1).cast("int")
+    name = F.format_string("dim_%d/part_%06d", dim, F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("int"))
+    return verify.judge_files(found.select(dim.alias("dim"), name.alias("file"), "n_vectors", "n_metadata", "file_dim", "max_dim"), ("dim",))
+
+
 @query
 def corpus_verification(spark: SparkSession, folder: str) -> DataFrame:
     return verify.corpus_verification(verify.verify_files(shard_rows(spark, folder), ("dim",)), ("dim",))

@@ -309,6 +309,7 @@ flagged AS (SELECT *, NOT bad AND (low <> expected_dim OR high <> expected_dim)
 SQL["verify_files"] = f"""WITH {CHECKED} SELECT dim::INTEGER AS dim, file, n_vectors, n_metadata, low::INTEGER AS file_dim,
   expected_dim::INTEGER AS expected_dim, warn, mismatch,
   CASE WHEN bad THEN 'ERROR' WHEN mismatch THEN 'MISMATCH' WHEN warn THEN 'WARN' ELSE 'OK' END AS status FROM flagged"""
+SQL["verify_footers"] = SQL["verify_files"]
 SQL["corpus_verification"] = f"""WITH {CHECKED} SELECT dim::INTEGER AS dim, count(*) FILTER (WHERE NOT bad) AS total_files,
   coalesce(sum(n_vectors) FILTER (WHERE NOT bad), 0)::BIGINT AS total_embeddings, max(expected_dim)::INTEGER AS expected_dim,
   count(*) FILTER (WHERE bad) AS error_files, count(*) FILTER (WHERE warn) AS warn_files,
