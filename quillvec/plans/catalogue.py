@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {}
 HASH_DIM = 32
 PREFIX_DIMS = (16, 32, 64)
 LSH_TABLES, LSH_BITS = 8, 6
+#: What the sweep's approximate methods must find of the best 10; measured are 0.31 to 0.62 at the three sizes of the tables.
+RECALL_FLOOR = 0.25
 PRODUCTION, RESEARCH = ("purchase", "signup"), ("click", "view")
 # The outcomes of a clone, and one that is not known yet.
 STATUSES = ("cloned", "updated", "update_failed", "failed", "timeout", "git_error", "error", "future_error")
@@ -422,7 +424,7 @@ def search_sweep(spark: SparkSession, folder: str) -> DataFrame:
         "library",
         "dimension",
         "num_vectors",
-        (F.when(exact, F.col("recall_at_k") == 1.0).otherwise(F.col("recall_at_k").between(0.0, 1.0))).alias("recall_ok"),
+        (F.when(exact, F.col("recall_at_k") == 1.0).otherwise(F.col("recall_at_k") >= RECALL_FLOOR)).alias("recall_ok"),
         ((F.col("query_time_avg") > 0) & (F.col("query_time_std") > 0) & (F.col("throughput_qps") > 0)).alias("timed"),
         F.lit(None).cast("string").alias("failure"),
     )
