@@ -9,11 +9,13 @@ one class, decided by a 64-bit key of the set. The rest works on classes, and fi
    Only these are shuffled, packed by shingle hash. A block of documents sends a shingle once however
    many of its documents hold it, so a frequent shingle costs one entry per block. Shingles of one class only are dropped, and with them
    every class that has fewer than the least number of shared ones.
-2. *Groups.* Classes that agree in a min-hash are compared with the smallest class among them, in a few rounds; the components of
-   these links are the groups of similar documents.
-3. *Token-group matrix.* A group stands for the union of its members' postings. A class and a foreign group with too few common
-   shingles are passed over; only a qualifying group is opened, its members' overlaps with the class counted, and
-   pairs that still qualify are compared exactly. So copies within a group are never paired with each other.
+2. *Groups.* Classes that agree in a min-hash are compared with the smallest class among them; the components of
+   these links are groups. The classes left alone form families by their most frequent min-hash, linked or not, so that near
+   copies below the bar are not thousands of groups. A group is cut into cells of about ``CELL`` shingles.
+3. *Token-group matrix.* A cell stands for the union of its members' postings. Two cells with too few common
+   shingles are passed over. Of the others the smaller travels, as packed sets, to the larger: there the cell's union bounds the overlap
+   of each class once more, and only for classes that still qualify the cell is opened and overlaps are counted. A task gives
+   only links that connect something new; members of one component are never paired.
 
 Every comparison is exact, on whole texts. Links and components stay DataFrames.
 
@@ -42,7 +44,8 @@ WIDTH = 5
 PERCENT = 75
 SLACK = 12  # one extra prefix shingle for so many of the set
 MINHASHES = 6
-ROUNDS = 1
+CELL = 50_000  # shingles of the sets of a cell, on average at most
+PARTNERS = 64
 FREQUENT_BITS = 21
 FREQUENT_IN_BLOCK = 2
 BROADCAST_BYTES = 64 << 20
@@ -387,67 +390,30 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     texts = rows.select("row", "text").join(first, "row").select("class", "n", "text")
     texts = durable(texts.mapInArrow(_with_minhashes(width), "class bigint, n int, text string, minhash array<bigint>"))
 
-    # Groups: links with the smallest class of the same min-hash, in rounds; who is in its group already is not
-    # compared again.
-    groups = None
-    for turn in range(ROUNDS):
-        keyed = texts.select("class", F.posexplode("minhash").alias("j", "h")).where(F.col("j") % ROUNDS == turn)
-        pivots = keyed.groupBy("j", "h").agg(F.min("class").alias("a"), F.count("*").alias("members")).where("members > 1")
-        stars = keyed.join(pivots, ["j", "h"]).where("a < class").select("a", F.col("class").alias("b")).distinct()
-        if groups is not None:
-            of = [groups.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
-            stars = stars.join(of[0], "a", "left").join(of[1], "b", "left")
-            stars = stars.where("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b").select("a", "b")
-        found = durable(compare(stars, texts, width, percent))
-        if found.isEmpty():
-            continue
-        if groups is not None:
-            found = found.union(groups.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
-        groups = components(found)
-
-    # token-group matrix; a class without links is a group of its own
-    if groups is None:
-        grouped = posts.withColumn("comp", F.col("class")).withColumn("multi", F.lit(False))
+    # Groups: links with the smallest class of the same min-hash. Classes that stay alone form families with those that
+    # share their most frequent min-hash, whether or not they link.
+    keyed = texts.select("class", F.posexplode("minhash").alias("j", "h"))
+    pivots = keyed.groupBy("j", "h").agg(F.min("class").alias("a"), F.count("*").alias("members")).where("members > 1")
+    met = durable(keyed.join(pivots, ["j", "h"]).select("class", "a", "members"))
+    stars = met.where("a < class").select("a", F.col("class").alias("b")).distinct()
+    found = durable(compare(stars, texts, width, percent))
+    groups = None if found.isEmpty() else components(found)
+    family = met.groupBy("class").agg(F.max_by("a", F.struct("members", "a")).alias("family"))
+    homes = texts.select("class", "n").join(family, "class", "left")
+    if groups is not None:
+        homes = homes.join(groups.withColumnRenamed("node", "class"), "class", "left")
     else:
-        grouped = posts.join(groups.withColumnRenamed("node", "class"), "class", "left")
-        grouped = grouped.withColumn("multi", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "class"))
-    several = grouped.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    open_posts = durable(grouped.join(several, "token").select("token", "class", "n", "pos", "comp", "multi"))
-    matrix = open_posts.groupBy("token", F.col("comp").alias("group")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"), F.max("multi").alias("many")
-    )
-
-    # Sets of n and m shingles link with an overlap of o or more, so the first n - o + l of one and m - o + l of the
-    # other have l common ones: a shingle further back need not be met.
-    def near(place: str, n: str, m: str) -> str:
-        o = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
-        return f"{place} < {n} - {o} + (least({n}, {m}) + {SLACK - 1}) div {SLACK}"
-
-    # Each two groups meet once: a lone class and a larger group from the side of the lone class. A lone
-    # class has one size and place; for a larger group the smallest size of a member with the shingle counts.
-    met = open_posts.join(matrix, "token").where(
-        f"comp <> group AND 100 * n >= {percent} * low AND 100 * high >= {percent} * n "
-        "AND CASE WHEN many THEN (NOT multi OR comp < group) "
-        f"AND pos < n - ({percent} * (n + greatest(low, ({percent} * n + 99) div 100)) + {99 + percent}) div {100 + percent} + (n + {SLACK - 1}) div {SLACK} "
-        f"ELSE NOT multi AND class < group AND {near('pos', 'n', 'low')} AND {near('first', 'low', 'n')} END"
-    )
-    overlap = met.groupBy("class", "group", "many").agg(
-        F.count("*").alias("c"), F.max("n").alias("n1"), F.max("high").alias("n2")
-    )
-    enough = f"c >= (least(n1, n2) + {SLACK - 1}) div {SLACK}"
-    lone = overlap.where("NOT many").where(enough).select("class", F.col("group").alias("other"))
-    opened = overlap.where("many").withColumn("n", F.col("n1")).where(f"c >= {need}").select("class", "group")
-    mine = open_posts.select("class", F.col("n").alias("n1"), F.col("pos").alias("p1"), "token").join(opened, "class")
-    members = open_posts.where("multi").select(
-        F.col("comp").alias("group"), "token", F.col("class").alias("other"), F.col("n").alias("n2"), F.col("pos").alias("p2")
-    )
-    inside = mine.join(members, ["group", "token"]).where(
-        f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND {near('p1', 'n1', 'n2')} AND {near('p2', 'n2', 'n1')}"
-    )
-    inside = inside.groupBy("class", "other").agg(F.count("*").alias("c"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-    pairs = lone.union(inside.where(enough).select("class", "other"))
-    pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    more = durable(compare(pairs, texts, width, percent))
+        homes = homes.withColumn("comp", F.lit(None).cast("bigint"))
+    homes = homes.select("class", "n", F.col("comp").isNull().alias("lone"), F.coalesce("comp", "family", "class").alias("family"))
+    weights = homes.groupBy("family", "lone").agg((F.sum("n") / F.lit(CELL)).cast("int").alias("cuts"))
+    homes = homes.join(weights, ["family", "lone"])
+    cell = F.concat_ws(":", "family", F.col("lone").cast("string"), F.pmod(F.xxhash64("class"), F.col("cuts") + 1))
+    homes = durable(homes.select("class", "family", "lone", cell.alias("cell")))
+
+    cells = texts.select("class", "text").join(homes, "class").select("cell", "lone", "class", "text")
+    cells = durable(cells.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(_cells(width), _CELL))
+    pairs = durable(_qualifying(posts.join(homes, "class"), percent))
+    more = durable(_open(pairs, cells, percent))
     if more.isEmpty():
         return documents, groups
     if groups is not None:
@@ -455,6 +421,160 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     return documents, components(more)
 
 
+# -- token-group matrix ------------------------------------------------------------------------
+
+_CELL = "cell string, lone boolean, total bigint, classes binary, sizes binary, tokens binary"
+
+
+def _cells(width: int):
+    """One row per cell, of rows sorted by cell: classes, set sizes and the sorted sets one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, name, lone, classes, sets = Shingler(width), None, None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not classes:
+                return
+            sizes = np.array([len(s) for s in sets], "<i8")
+            columns = [name], [lone], [int(sizes.sum())], [np.array(classes, "<i8").tobytes()], [sizes.tobytes()]
+            kinds = pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays.append(pa.array([np.concatenate(sets).astype("<u8").tobytes()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _CELL.split(", ")])
+
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                keys = (part.column(c).to_pylist() for c in ("cell", "lone", "class"))
+                for one, alone, each, shingles in zip(*keys, shingler(part.column("text"))):
+                    if one != name:
+                        yield from close()
+                        name, lone, classes, sets = one, alone, [], []
+                    classes.append(each)
+                    sets.append(shingles)
+        yield from close()
+
+    return run
+
+
+def _qualifying(posts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` of cells that may hold a link, from ``token, n, pos, family, lone, cell`` of their classes.
+
+    Linked sets of n and m shingles have an overlap of o or more, so the first n - o + l of one and m - o + l of the other
+    have l common ones: a shingle further back need not be met. Sets of a cell have several sizes; the bounds take the
+    most favourable ones, and two places more for rounding.
+    """
+    matrix = posts.groupBy("token", "cell", "lone", "family").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"), F.count("*").alias("members")
+    )
+    several = matrix.groupBy("token").agg(F.count("*").alias("c"), F.max(F.expr("lone AND members > 1")).alias("own")).where("c > 1 OR own")
+    matrix = durable(matrix.join(several.select("token"), "token"))
+
+    def near(a: str, b: str) -> str:
+        n, m = f"{a}.high", f"greatest({b}.low, ({percent} * {a}.high + 99) div 100)"
+        o = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+        spare = f"if({a}.low = {a}.high AND {b}.low = {b}.high, 0, 2)"
+        return f"{a}.first < {n} - {o} + (least({n}, {m}) + {SLACK - 1}) div {SLACK} + {spare}"
+
+    met = matrix.alias("p").join(matrix.alias("q"), F.expr("p.token = q.token")).where(
+        "(p.cell < q.cell AND (p.lone OR q.lone OR p.family <> q.family) OR p.cell = q.cell AND p.lone AND p.members > 1) "
+        f"AND 100 * p.high >= {percent} * q.low AND 100 * q.high >= {percent} * p.low AND {near('p', 'q')} AND {near('q', 'p')}"
+    )
+    overlap = met.groupBy(F.col("p.cell").alias("x"), F.col("q.cell").alias("y")).agg(
+        F.count("*").alias("c"), F.min("p.low").alias("n1"), F.min("q.low").alias("n2")
+    )
+    return overlap.where(f"c >= (least(n1, n2) + {SLACK - 1}) div {SLACK}").select("x", "y")
+
+
+def _open(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes of the cells ``x`` and ``y``; those that join nothing new within a task are left out.
+
+    The smaller cell of a pair travels to the larger one. A cell with many partners is opened by several tasks.
+    """
+    size = cells.select("cell", "total")
+    sized = pairs.join(size.toDF("x", "sx"), "x").join(size.toDF("y", "sy"), "y")
+    sized = sized.select(F.expr("if(sx >= sy, x, y)").alias("x"), F.expr("if(sx >= sy, y, x)").alias("y"))
+    many = sized.groupBy("x").agg((F.count("*") / F.lit(PARTNERS)).cast("int").alias("cuts"))
+    sized = durable(sized.join(many, "x").select("x", F.pmod(F.xxhash64("y"), F.col("cuts") + 1).alias("part"), "y"))
+    fields = ["lone", "classes", "sizes", "tokens"]
+    body = cells.select("cell", *fields)
+    heads = sized.select("x", "part").distinct().join(body.withColumnRenamed("cell", "x"), "x").select("x", "part", F.lit("").alias("y"), *fields)
+    visits = sized.where("x <> y").join(body.withColumnRenamed("cell", "y"), "y").select("x", "part", "y", *fields)
+    own = sized.where("x = y").select("x", "part", "y", *(F.lit(None).cast(body.schema[f].dataType).alias(f) for f in fields))
+    rows = heads.unionByName(visits).unionByName(own).repartition("x", "part").sortWithinPartitions("x", "part", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                if row["y"] == "":
+                    held = Cell(row, percent)
+                else:
+                    for one, two in held.links(row if row["classes"] is not None else None):
+                        a.append(min(one, two))
+                        b.append(max(one, two))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+class Cell:
+    """The sets of a cell as holders of each distinct shingle, and which of its classes are known to be connected."""
+
+    def __init__(self, row: dict, percent: int = PERCENT) -> None:
+        self.percent = percent
+        self.classes, self.sizes, self.sets = self.read(row)
+        owners = np.repeat(np.arange(len(self.classes)), self.sizes)
+        order = np.argsort(self.sets, kind="stable")
+        self.owners = owners[order]
+        self.tokens, self.starts = np.unique(self.sets[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(self.sets)))
+        self.labels = np.arange(len(self.classes)) if row["lone"] else np.zeros(len(self.classes), np.int64)
+
+    @staticmethod
+    def read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(row["classes"], "<i8"), np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["tokens"], "<u8")
+
+    def near(self, shingles: np.ndarray) -> np.ndarray:
+        """The members that link with a set. The cell's union bounds the overlap: most sets go no further."""
+        n = len(shingles)
+        at = np.searchsorted(self.tokens, shingles)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == shingles]
+        if len(at) < least_common(n, self.percent):
+            return np.zeros(0, np.int64)
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        places = np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + counts, counts)
+        common = np.bincount(self.owners[places], minlength=len(self.classes))
+        return np.flatnonzero(100 * common >= self.percent * (n + self.sizes - common))
+
+    def links(self, other: dict | None) -> Iterator[tuple[int, int]]:
+        """Links with the classes of another cell, or within this one; they connect all that all links connect."""
+        classes, sizes, sets = (self.classes, self.sizes, self.sets) if other is None else self.read(other)
+        joined: set[int] = set()  # labels connected with the other cell, if that is one component
+        edges = np.append(0, np.cumsum(sizes))
+        for k in range(len(classes)):
+            found = self.near(sets[edges[k] : edges[k + 1]])
+            if other is None:
+                found = found[self.labels[found] != self.labels[k]]
+            if not len(found):
+                continue
+            labels, first = np.unique(self.labels[found], return_index=True)
+            if other is not None and not other["lone"]:
+                fresh = [j for label, j in zip(labels.tolist(), first.tolist()) if label not in joined]
+                joined.update(labels.tolist())
+            else:
+                fresh = first.tolist()
+            for j in fresh:
+                yield int(classes[k]), int(self.classes[found[j]])
+            to = self.labels[k] if other is None else labels[0]
+            self.labels[np.isin(self.labels, labels)] = to
+            if joined & set(labels.tolist()):
+                joined.add(int(to))
+
+
 def _with_minhashes(width: int):
     salts = mix(np.arange(101, 101 + MINHASHES, dtype=np.uint64))
 

@@ -171,6 +171,55 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("cell, partners", [(50_000, 64), (600, 2)])
+def test_lone_near_copies_round_a_large_group(spark, monkeypatch, cell, partners):
+    """Documents that share two thirds of their shingles with a group, and with each other, without linking."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(80)]
+    rows = [" ".join(base[:-1] + [f"end{k}"]) for k in range(70)]
+    for k in range(120):
+        at = rng.randrange(40)
+        rows.append(" ".join(base[at:] + [f"own{k}_{j}" for j in range(rng.choice((8, 22, 24)) - at // 4)]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, "doc_id")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect())
+    want = sorted(brute_components(rows))
+    assert got == want
+    assert 20 < sum(name == component for name, _, component in want) < 150
+
+
+def test_cells_emit_links_that_connect_all_links():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
+
+    def sets(n):
+        return [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 62, 4).astype(np.uint64)])) for _ in range(n)]
+
+    def row(lone, first, members):
+        sizes = np.array([len(s) for s in members], "<i8")
+        names = np.arange(first, first + len(members), dtype="<i8")
+        return {"lone": lone, "classes": names.tobytes(), "sizes": sizes.tobytes(), "tokens": np.concatenate(members).tobytes()}
+
+    def roots(n, edges):
+        parent = list(range(n))
+        for a, b in edges:
+            old, to = parent[a], parent[b]
+            parent = [to if p == old else p for p in parent]
+        return [parent.index(p) for p in parent]
+
+    for lone in ((True, True), (True, False), (False, True), (False, False)):
+        mine, theirs = sets(30), sets(25)
+        every = mine + theirs
+        known = [(0, k) for k in range(30)] * (not lone[0]) + [(30, 30 + k) for k in range(25)] * (not lone[1])
+        cell = jaccard.Cell(row(lone[0], 0, mine))
+        got = list(cell.links(None)) * lone[0] + list(cell.links(row(lone[1], 30, theirs)))
+        assert all(jaccard.linked(every[a], every[b]) for a, b in got) and len(got) <= 2 * 55
+        links = [(a, b) for a in range(55) for b in range(a) if jaccard.linked(every[a], every[b]) and (b < 30 <= a or lone[0] and a < 30)]
+        assert roots(55, known + got) == roots(55, known + links)
+
+
 def test_prefixes_of_linked_sets_share_enough():
     rng = np.random.default_rng(4)
     for _ in range(300):
