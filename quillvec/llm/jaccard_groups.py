@@ -361,7 +361,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(``row, id, n, class`` of every document, ``node, comp`` of the classes with links or None) of stored ``row, id, text``."""
     spark = rows.sparkSession
-    profiles = durable(rows.mapInArrow(_profiles(width), _PROFILE))
+    profiles = stored(rows.mapInArrow(_profiles(width), _PROFILE), "jaccard-profiles")
     documents = profiles.where(F.col("row").isNotNull()).select("row", "id", "n", "class")
     prefixes = F.expr(f"n - ({percent} * n + 99) div 100 + (n + {SLACK - 1}) div {SLACK}")
     total = documents.agg(F.sum(prefixes)).collect()[0][0] or 0
@@ -375,7 +375,7 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     shared = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _POSTING)
     shared = shared.groupBy("class", "token").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     need = f"(({percent} * n + 99) div 100 + {SLACK - 1}) div {SLACK}"
-    shared = durable(shared)
+    shared = stored(shared, "jaccard-shared")
     alive = shared.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(f"shared >= {need}")
     alive = durable(alive.select("class", "n"))
     living = alive.count()
@@ -388,7 +388,7 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     first = documents.where("n > 1").groupBy("class").agg(F.min("row").alias("row")).join(alive, "class")
     first = F.broadcast(durable(first)) if 24 * living <= BROADCAST_BYTES else first
     texts = rows.select("row", "text").join(first, "row").select("class", "n", "text")
-    texts = durable(texts.mapInArrow(_with_minhashes(width), "class bigint, n int, text string, minhash array<bigint>"))
+    texts = stored(texts.mapInArrow(_with_minhashes(width), "class bigint, n int, text string, minhash array<bigint>"), "jaccard-texts")
 
     # Groups: links with the smallest class of the same min-hash. Classes that stay alone form families with those that
     # share their most frequent min-hash, whether or not they link.
@@ -411,7 +411,8 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     homes = durable(homes.select("class", "family", "lone", cell.alias("cell")))
 
     cells = texts.select("class", "text").join(homes, "class").select("cell", "lone", "class", "text")
-    cells = durable(cells.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(_cells(width), _CELL))
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(_cells(width), _CELL)
+    cells = stored(cells, "jaccard-cells")
     pairs = durable(_qualifying(posts.join(homes, "class"), percent))
     more = durable(_open(pairs, cells, percent))
     if more.isEmpty():
@@ -467,7 +468,7 @@ def _qualifying(posts: DataFrame, percent: int) -> DataFrame:
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"), F.count("*").alias("members")
     )
     several = matrix.groupBy("token").agg(F.count("*").alias("c"), F.max(F.expr("lone AND members > 1")).alias("own")).where("c > 1 OR own")
-    matrix = durable(matrix.join(several.select("token"), "token"))
+    matrix = stored(matrix.join(several.select("token"), "token"), "jaccard-matrix")
 
     def near(a: str, b: str) -> str:
         n, m = f"{a}.high", f"greatest({b}.low, ({percent} * {a}.high + 99) div 100)"
