@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.llm.labelled import kept_rows
 from quillvec.llm.textops import process_cache
 
 RATE = 0.06
@@ -166,5 +167,5 @@ def query(spark, folder: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark, with their own columns."""
-    found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return kept_rows(docs, {"leaks", "__norm"}, lambda rows: find(rows, items).where(F.size("leaks") == 0))

@@ -623,6 +623,8 @@ def query(spark, folder: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that of the smallest id (and row number), and all without shingles."""
     place = "__row"
+    while place in map(str.lower, docs.columns):
+        place += "_"
     rows = stored(docs.withColumn(place, F.monotonically_increasing_id()), "jaccard-rows")
     found = components_of(rows.select(F.col(place).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text"))
     best = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))

@@ -42,3 +42,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     texts = fits.select(F.col(key).alias("__key"), "text")
     one = texts.join(few, "__key").groupBy("__key", "__y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return one.select("text", F.col("__y").alias("y"), "__key").orderBy("__key").drop("__key").toArrow()
+
+
+def kept_rows(docs: DataFrame, names: set[str], keep) -> DataFrame:
+    """The rows that ``keep`` leaves of ``docs``, all columns as they came, those called like its own ``names`` too."""
+    aside = [f"__own_{k}_{c}" if c.lower() in names else c for k, c in enumerate(docs.columns)]
+    return keep(docs.toDF(*aside)).select(*aside).toDF(*docs.columns)

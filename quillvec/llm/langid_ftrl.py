@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.labelled import remainder
+from quillvec.llm.labelled import kept_rows, remainder
 from quillvec.llm.textops import Hasher, WordTable, mix, powers, row_sums, runs, shared, slices
 
 BITS = 17
@@ -295,4 +295,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(learnable(docs))
     if not model.langs:
         return docs
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return kept_rows(docs, {"lang_pred", "lang_score"}, lambda rows: predict(rows, model).where(F.col("lang_pred") != UNKNOWN))

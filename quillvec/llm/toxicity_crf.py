@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.labelled import labelled_sample, remainder
+from quillvec.llm.labelled import kept_rows, labelled_sample, remainder
 from quillvec.llm.textops import WordTable, affix_ids, row_sums, shared, slices
 
 BITS = 18
@@ -339,4 +339,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field does not reject, with their own columns."""
     labels = learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = train(docs.select("doc_id", "text"), labels)
-    return tag(docs, model, spans=False).where(F.col("toxic_score") < REJECT).select(*docs.columns)
+    names = {"toxic_score", "toxic_words", "toxic_spans"}
+    return kept_rows(docs, names, lambda rows: tag(rows, model, spans=False).where(F.col("toxic_score") < REJECT))

@@ -315,6 +315,17 @@ def brute_components_by_shingle(rows):
     return out
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["toxic_score", "Lang_Pred", "leaks", "__row", "__norm", "toxic_words"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(row[name] == f"{name}{row.doc_id}" for row in rows for name in names)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
