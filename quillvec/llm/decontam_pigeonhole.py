@@ -12,7 +12,9 @@ at most about ``BLOCK_BYTES`` (their size is summed first); a larger benchmark t
 after the other in the same tasks.
 
 Defined cases: a null or empty text, or one without letters and numbers, has no match, and an item
-like that matches nothing; items of fewer than 1 / RATE characters must occur exactly; repeated items and repeated documents are
+like that matches nothing; items of fewer than 1 / RATE characters must occur exactly, in the query and the
+stage as whole words (`yes` is not found in `eyes`); of equally near passages the first is reported; a text of any length is searched
+whole, in one pass; repeated items and repeated documents are
 reported each; other columns pass through unread.
 """
 
@@ -74,10 +76,10 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Finder:
     """The pieces of a block of items as one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, whole_words: bool = False) -> None:
         import ahocorasick
 
-        self.items, self.rate = items, rate
+        self.items, self.rate, self.whole_words = items, rate, whole_words
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (_, item) in enumerate(items):
@@ -90,6 +92,10 @@ class Finder:
         if self.ready:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def bordered(text: str, start: int, end: int) -> bool:
+        return (not start or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+
     def __call__(self, text: str) -> list[dict]:
         """The best match of every item within its budget, as far as there is one."""
         if not self.ready or not text:
@@ -102,6 +108,10 @@ class Finder:
         for number, starts in windows.items():
             name, item = self.items[number]
             budget = int(self.rate * len(item))
+            if self.whole_words and not budget:
+                starts = [s for s in starts if self.bordered(text, s, s + len(item))]
+                if not starts:
+                    continue
             best = None
             # hits that lie within the budget of each other share a window
             starts.sort()
@@ -125,9 +135,12 @@ class Finder:
         return out
 
 
-def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(
+    docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, whole_words: bool = False
+) -> DataFrame:
     """``docs`` with ``leaks``: the items (``item_id``, ``text``) found in a text, the edit distance and
-    the place of the passage in the normalised text. Null item ids stay null."""
+    the place of the passage in the normalised text. Null item ids stay null. With ``whole_words`` an item
+    that must occur exactly has a blank or an end of the text on both sides."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -145,7 +158,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int
         arrow = to_arrow_schema(schema)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, arrow=arrow, number=block) -> Iterator[pa.RecordBatch]:
-            finder = process_cache(f"finder_{number}", key, lambda: Finder(held.value, rate))
+            finder = process_cache(f"finder_{number}", key, lambda: Finder(held.value, rate, whole_words))
             for batch in batches:
                 for row in range(0, batch.num_rows, 1000):
                     part = batch.slice(row, 1000)
@@ -160,7 +173,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int
 
 def query(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    found = find(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    found = find(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), whole_words=True)
     leak = found.select("doc_id", F.explode("leaks").alias("leak"))
     return leak.select("doc_id", "leak.item_id", "leak.distance", "leak.start", "leak.end")
 
@@ -168,4 +181,4 @@ def query(spark, folder: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark, with their own columns."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return kept_rows(docs, {"leaks", "__norm"}, lambda rows: find(rows, items).where(F.size("leaks") == 0))
+    return kept_rows(docs, {"leaks", "__norm"}, lambda rows: find(rows, items, whole_words=True).where(F.size("leaks") == 0))
