@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.session import durable
+from quillvec.session import durable, stored
 
 #: (verdict, host, path); a rule fits its host and all subdomains below its path.
 RULES = (
@@ -39,6 +39,8 @@ ORDER = 5
 STRENGTH = 4.0
 ALPHABET = 256
 FOLDS = 5
+#: Characters of URLs that one task cuts into grams.
+TASK_SIGNS = 250_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,21 +97,25 @@ def gram_scores(counts: DataFrame, order: int = ORDER, strength: float = STRENGT
     return lower.select("gram", (F.log("pa") - F.log("pb")).alias("ratio"))
 
 
-def score_urls(urls: DataFrame) -> DataFrame:
-    """``(url, verdict, held, z)`` for distinct ``(url, verdict)``; ``z`` is the normalised ratio."""
+def score_urls(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(url, verdict, held, z)`` for distinct ``(url, verdict)``; ``z`` is the normalised ratio.
+
+    The URLs are numbered and stored once; behind that only their numbers go with the grams, so that a
+    long URL costs its length and not its square. They are dealt over tasks by their characters.
+    """
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    parts = grams(urls.withColumn("held", held))
-    learns = ~F.col("held") & F.col("verdict").isNotNull()
-    per_url = parts.groupBy("url", "verdict", "held", "gram").agg(F.count("*").alias("n"))
-    counts = parts.groupBy("gram").agg(
-        F.sum((learns & (F.col("verdict") == "allow")).cast("bigint")).alias("a"),
-        F.sum((learns & (F.col("verdict") == "block")).cast("bigint")).alias("b"),
-    )
-    counts = counts.select("gram", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-    scored = per_url.join(gram_scores(counts), "gram")
-    return scored.groupBy("url", "verdict", "held").agg(
-        (F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("z")
+    numbered = stored(urls.select(F.monotonically_increasing_id().alias("n"), "url", "verdict", held.alias("held")), "urls")
+    signs = numbered.agg(F.sum(F.length("url") + 1)).collect()[0][0] or 0
+    dealt = numbered.repartition(-(-signs // TASK_SIGNS) or 1, "n")
+    parts = grams(dealt, order).select("n", "gram", F.when(~F.col("held"), F.col("verdict")).alias("learns"))
+    per_url = parts.groupBy("n", "learns", "gram").agg(F.count("*").alias("times"))
+    counts = per_url.groupBy("gram").agg(
+        F.sum(F.when(F.col("learns") == "allow", F.col("times")).otherwise(0)).alias("a"),
+        F.sum(F.when(F.col("learns") == "block", F.col("times")).otherwise(0)).alias("b"),
     )
+    scored = per_url.select("n", "gram", "times").join(gram_scores(counts, order), "gram")
+    z = scored.groupBy("n").agg((F.sum(F.col("ratio") * F.col("times")) / F.sum("times")).alias("z"))
+    return numbered.join(z, "n").select("url", "verdict", "held", "z")
 
 
 def calibration(scored: DataFrame) -> tuple[float, float]:

@@ -295,6 +295,15 @@ def test_judge_awkward_pages(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_a_long_url_costs_its_length(spark):
+    rng = random.Random(12)
+    long = "http://a.com/" + "".join(rng.choice("abcdefghij0123456789") for _ in range(200_000))
+    rows = [(long, None), *((f"http://h{i}.{'com' if i % 2 else 'net'}/fr/{i}", "allow" if i % 2 else "block") for i in range(40))]
+    scored = urls.score_urls(spark.createDataFrame(rows, "url string, verdict string")).collect()
+    want = brute_ratio([(r.url, r.verdict, r.held) for r in scored])
+    assert len(scored) == len(rows) and all(r.z == pytest.approx(want[r.url], abs=1e-9) for r in scored)
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 
@@ -350,3 +359,11 @@ def test_decontamination_awkward_rows(spark):
     assert [[x.item_id for x in r.leaks] for r in got if r.doc_id == 11] == [[None]]
     assert decontam.find(empty(spark), items).count() == 0
     assert all(not r.leaks for r in decontam.find(odd, items.limit(0)).collect())
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "his eyes"), (2, "Yes!"), (3, "oh, yes-man"), (4, "yesterday"), (5, "eyes, yes")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "yes")], "item_id bigint, text string")
+    words = {r.doc_id: [(x.start, x.end) for x in r.leaks] for r in decontam.find(docs, items, whole_words=True).collect()}
+    assert words == {1: [], 2: [(0, 3)], 3: [(3, 6)], 4: [], 5: [(5, 8)]}
+    assert all(r.leaks for r in decontam.find(docs, items).collect())
