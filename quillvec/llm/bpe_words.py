@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.textops import PreTokens, runs
+from quillvec.llm.textops import PreTokens, freed, runs
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1_000_000
@@ -302,14 +302,14 @@ def encode(
     buckets = buckets or max(BUCKETS, partitions)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path or public_tokenizers.path(RANKS)))
     rows = docs.select(*keys, F.col(text).alias("__text"), F.spark_partition_id().alias("__part"))
-    blocks = rows.mapInArrow(_explode(list(keys), block_tokens, buckets), _PACKED)
+    blocks = rows.mapInArrow(freed(_explode(list(keys), block_tokens, buckets)), _PACKED)
     by_word = blocks.repartition(partitions, "place").sortWithinPartitions("place")
-    encoded = by_word.mapInArrow(_encode_words(tiktoken_encoder(ranks)), _PACKED)
+    encoded = by_word.mapInArrow(freed(_encode_words(tiktoken_encoder(ranks))), _PACKED)
     order = ["block", F.col("kind").desc(), "bucket"]
     by_block = encoded.repartition(partitions, "block").sortWithinPartitions(*order)
     fields = [StructField(k, docs.schema[k].dataType) for k in keys]
     schema = StructType([*fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
-    return by_block.mapInArrow(_assemble(list(keys), to_arrow_schema(schema)), schema)
+    return by_block.mapInArrow(freed(_assemble(list(keys), to_arrow_schema(schema))), schema)
 
 
 def decoded(ids: np.ndarray, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -338,7 +338,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, ids: str = "ids")
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], schema=arrow)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(freed(run), schema)
 
 
 def digests(decoded_rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import kept_rows
-from quillvec.llm.textops import process_cache
+from quillvec.llm.textops import freed, process_cache
 
 RATE = 0.06
 BLOCK_BYTES = 32 << 20
@@ -167,7 +167,7 @@ def find(
                     columns = [part.column(n) for n in arrow.names[:-1]] + [pa.array(found, arrow.field("leaks").type)]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(freed(run), schema)
     return rows.drop("__norm")
 
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.llm.textops import Words, mix, powers, slices
+from quillvec.llm.textops import Words, freed, mix, powers, slices
 from quillvec.session import durable, stored
 
 WIDTH = 5
@@ -201,7 +201,7 @@ def _frequent_table(profiles: DataFrame, bits: int) -> np.ndarray:
             )
 
     rows = profiles.where(F.col("frequent").isNotNull()).select("frequent", "counts")
-    sums = rows.mapInArrow(count, "piece int, n binary").repartition(pieces, "piece").mapInArrow(add, "piece int, n binary").collect()
+    sums = rows.mapInArrow(freed(count), "piece int, n binary").repartition(pieces, "piece").mapInArrow(freed(add), "piece int, n binary").collect()
     table = np.zeros(1 << bits, np.uint8)
     for row in sums:
         part = _unpack(row["n"]).astype(np.float64)
@@ -332,7 +332,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(``row, id, n, class`` of every document, ``node, comp`` of the classes with links or None) of stored ``row, id, text``."""
     spark = rows.sparkSession
-    profiles = stored(rows.mapInArrow(_profiles(width), _PROFILE), "jaccard-profiles")
+    profiles = stored(rows.mapInArrow(freed(_profiles(width)), _PROFILE), "jaccard-profiles")
     documents = profiles.where(F.col("row").isNotNull()).select("row", "id", "n", "class")
     prefixes = F.expr(f"n - ({percent} * n + 99) div 100 + (n + {SLACK - 1}) div {SLACK}")
     total = documents.agg(F.sum(prefixes)).collect()[0][0] or 0
@@ -371,8 +371,8 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     buckets = max(2 * partitions, -(-total // BUCKET_POSTINGS))
     levels = spark.sparkContext.broadcast(_frequent_table(profiles, FREQUENT_BITS))
 
-    packed = rows.select("text").mapInArrow(_postings(width, percent, buckets, levels), _PACKED)
-    shared = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _POSTING)
+    packed = rows.select("text").mapInArrow(freed(_postings(width, percent, buckets, levels)), _PACKED)
+    shared = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(freed(_shared), _POSTING)
     shared = shared.groupBy("class", "token").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     need = f"(({percent} * n + 99) div 100 + {SLACK - 1}) div {SLACK}"
     shared = stored(shared, "jaccard-shared")
@@ -388,7 +388,7 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     first = documents.where("n > 1").groupBy("class").agg(F.min("row").alias("row")).join(alive, "class")
     first = F.broadcast(durable(first)) if 24 * living <= BROADCAST_BYTES else first
     texts = rows.select("row", "text").join(first, "row").select("class", "n", "text")
-    texts = stored(texts.mapInArrow(_with_minhashes(width), "class bigint, n int, text string, minhash array<bigint>"), "jaccard-texts")
+    texts = stored(texts.mapInArrow(freed(_with_minhashes(width)), "class bigint, n int, text string, minhash array<bigint>"), "jaccard-texts")
 
     # Groups: links with the smallest class of the same min-hash. Classes that stay alone form families with those that
     # share their most frequent min-hash, whether or not they link.
@@ -411,7 +411,7 @@ def classes_and_links(rows: DataFrame, width: int, percent: int) -> tuple[DataFr
     homes = durable(homes.select("class", "family", "lone", cell.alias("cell")))
 
     cells = texts.select("class", "text").join(homes, "class").select("cell", "lone", "class", "text")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(_cells(width), _CELL)
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(freed(_cells(width)), _CELL)
     cells = stored(cells, "jaccard-cells")
     pairs = durable(_qualifying(posts.join(homes, "class"), percent))
     more = durable(_open(pairs, cells, percent))
@@ -517,7 +517,7 @@ def _open(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
                         b.append(max(one, two))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 class Cell:

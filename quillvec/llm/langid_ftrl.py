@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import kept_rows, remainder
-from quillvec.llm.textops import Hasher, WordTable, mix, powers, row_sums, runs, shared, slices
+from quillvec.llm.textops import Hasher, WordTable, freed, mix, powers, row_sums, runs, shared, slices
 
 BITS = 17
 LENGTHS = (1, 2, 3, 4)
@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             )
 
     kind = "piece int, n binary"
-    parts = docs.select("text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()
+    parts = docs.select("text").mapInArrow(freed(count), kind).repartition(PIECES, "piece").mapInArrow(freed(add), kind).collect()
     sums = {row["piece"]: np.frombuffer(row["n"], np.int64) for row in parts}
     if not sums:
         return np.zeros(1 << BITS, np.int64), 0
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ that one very long text costs no more memory than many short ones.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 
@@ -318,6 +319,23 @@ def slices(frame: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         row = last
 
 
+def freed(run):
+    """The task function ``run``, whose worker gives freed memory back when a task ends.
+
+    Workers are used again by later stages; what the allocators of Arrow and of the C library keep would else add to
+    the executor's memory until then.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+        if trim:
+            trim(0)
+
+    return task
+
+
 def shared(session, value):
     """A broadcast that executors without this package can read: call it in a task for a copy of ``value``.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.llm.labelled import kept_rows, labelled_sample, remainder
-from quillvec.llm.textops import WordTable, affix_ids, row_sums, shared, slices
+from quillvec.llm.textops import WordTable, affix_ids, freed, row_sums, shared, slices
 
 BITS = 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
@@ -314,7 +314,7 @@ def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                     columns.append(pa.array(found, arrow.field("toxic_spans").type))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
