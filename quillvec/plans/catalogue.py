@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import display, text, vector
-from quillvec.operators import balls, blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, quantiser, recall, report, search, verify
+from quillvec.operators import balls, blockscan, chunking, corpus, embedding, graph, ivf, lsh, ordinal, quantiser, recall, report, search, sketches, subwords, verify
 from quillvec.plans import sweep
 from quillvec.session import durable, scratch_path
 from quillvec.sources import files as sources
@@ -522,6 +522,17 @@ def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def subword_truncate(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks cut after an encoder's own 128 tokens, two of them its signs for begin and end."""
+    import public_tokenizers
+
+    files = spread(source_files(spark, folder).select("doc_id", "content"), "doc_id")
+    chunks = chunking.chunk_lines(_usable(files)).select("doc_id", "chunk_no", "chunk")
+    cut = subwords.truncate_subwords(chunks, public_tokenizers.path("byte_bpe_50k.json"), special=2)
+    return cut.select("doc_id", "chunk_no", "n_tokens", F.size("token_ids").alias("n_kept"), F.md5("kept").alias("kept_hash"))
+
+
 @query
 def embed_batches(spark: SparkSession, folder: str) -> DataFrame:
     tokens = document_tokens(spark, folder)
@@ -830,6 +841,19 @@ def latency_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.select(*keys, round6("query_time_avg"), round6("query_time_std"), round6("throughput_qps"))
 
 
+@query
+def latency_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Timings of three runs kept as sketches, one run repeated: counts, means and extremes, and whether the quartiles' ranks
+    are within the stated error of the exact ones."""
+    rows, path = timings(spark, folder), scratch_path(spark, "sketches")
+    for run in (0, 1, 2, 2):
+        sketches.add_run(rows.where(F.col("query_id") % 3 == run), "seconds", ["library"], path, str(run))
+    boxes = durable(sketches.quartiles(sketches.merged(sketches.read_runs(spark, path), ["library"])))
+    misses = sketches.rank_misses(rows, "seconds", boxes, ["library"])
+    within = (F.col("miss") <= sketches.rank_error()).alias("within")
+    return boxes.join(misses, "library").select("library", "runs", round6("mean"), "lowest", "highest", within)
+
+
 @query
 def results_table(spark: SparkSession, folder: str) -> DataFrame:
     return bench_results(spark, folder)

@@ -323,6 +323,9 @@ SQL["latency_stats"] = f"""WITH {TIMINGS} SELECT library, index_type, dimension,
   round(avg(seconds), 6) AS query_time_avg, round(stddev_pop(seconds), 6) AS query_time_std,
   round(1.0 / avg(seconds), 6) AS throughput_qps FROM timings GROUP BY library, index_type, dimension"""
 
+SQL["latency_quantiles"] = f"""WITH {TIMINGS} SELECT library, count(*) AS runs, round(avg(seconds), 6) AS mean, min(seconds) AS lowest,
+  max(seconds) AS highest, true AS within FROM timings GROUP BY library"""
+
 RESULTS = f"""{TIMINGS},
 raw AS (SELECT library, index_type, dimension, min(event_id) AS run_no, count(*) AS num_vectors,
   max(seconds) / 10.0 AS build_time, sum(seconds) / 7.0 AS memory_usage_mb, avg(seconds) AS query_time_avg,
