@@ -30,6 +30,8 @@ from quillvec.sources.vectors import stack, write_vectors
 
 #: Vectors of a ball, about, and shells of a cell at most.
 BALL_ROWS, SHELLS = 10_000, 64
+#: Queries and balls whose bounds are computed at once: the dozen temporary arrays have 2 MB each.
+_BOUND_QUERIES, _BOUND_BALLS = 1024, 256
 BALL = "ball int, cell int, c array<double>, inner double, outer double, n bigint"
 #: Stands for "nothing known yet" beside the finite components of a query.
 _FAR = 1e300
@@ -114,12 +116,7 @@ def _within(asked: DataFrame, balls: DataFrame, block_bytes: int, pass_bytes: in
     def near(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    for ids, queries in shared.value:
-                        q, ball = np.nonzero(may_hold(queries[:, :-1], queries[:, -1], some))
-                        columns = [ids[q], some["ball"].to_numpy()[ball], some["n"].to_numpy()[ball]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "ball", "n"])
+                yield from _holders(shared.value, batch)
 
         return run
 
@@ -130,6 +127,18 @@ def _within(asked: DataFrame, balls: DataFrame, block_bytes: int, pass_bytes: in
     return stack(passes) if passes else balls.sparkSession.createDataFrame([], "query_id bigint, ball int, n bigint")
 
 
+def _holders(blocks: list[tuple[np.ndarray, np.ndarray]], balls: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs that ``may_hold`` flags, some queries and balls at a time; a query's bound is its last component."""
+    for at in range(0, balls.num_rows, _BOUND_BALLS):
+        some = balls.slice(at, _BOUND_BALLS)
+        for ids, queries in blocks:
+            for first in range(0, len(ids), _BOUND_QUERIES):
+                part = queries[first : first + _BOUND_QUERIES]
+                q, ball = np.nonzero(may_hold(part[:, :-1], part[:, -1], some))
+                columns = [ids[first + q], some["ball"].to_numpy()[ball], some["n"].to_numpy()[ball]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "ball", "n"])
+
+
 def may_hold(queries: np.ndarray, bounds: np.ndarray, balls: pa.RecordBatch) -> np.ndarray:
     """(queries, balls) flags; rounding only ever keeps a ball."""
     _, centres = matrix_of(balls["c"], queries.shape[1])

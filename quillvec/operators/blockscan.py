@@ -34,6 +34,7 @@ PARTIAL = "query_id bigint, vec_id bigint, score double"
 _QUERY_BLOCK = 512
 _VECTOR_ROWS = 8192  # with 512 queries, a block of scores has at most 32 MB
 _TERM_BYTES = 1 << 20
+_PAIRS = 1 << 18  # candidates that are gathered before they are cut, or twice as many as the answer has
 # Squared norms for which single precision neither overflows nor loses digits to underflow.
 _SINGLE_LOW, _SINGLE_HIGH = 1e-30, 1e36
 
@@ -122,6 +123,7 @@ class BlockTopK:
         self.norms = np.sqrt((queries * queries).sum(axis=1))
         sized = self.norms[self.norms > 0] ** 2
         self.in_range = bool(((sized > _SINGLE_LOW) & (sized < _SINGLE_HIGH)).all())
+        self.wide = False  # single precision has left too many candidates
         self.floor = np.full(len(queries), -np.inf)  # exact k-th key so far
         self.best_q = np.empty(0, dtype=np.int64)
         self.best_key = np.empty(0, dtype=np.float64)
@@ -132,31 +134,74 @@ class BlockTopK:
         n = len(vectors)
         if n == 0 or len(self.queries) == 0:
             return
-        block, queries = vectors.astype(np.float32, copy=False), self.single
-        squares = np.einsum("ij,ij->i", block, block)
-        if not (self.in_range and _SINGLE_LOW < squares.max() < _SINGLE_HIGH):
-            block, queries = vectors.astype(np.float64), self.queries
-            squares = np.einsum("ij,ij->i", block, block)
-        # Product and exact sum are both within dim * eps * |q||v| of the true value.
-        reach = float(np.sqrt(squares.max()))
-        slack = 4.0 * (vectors.shape[1] + 4) * np.finfo(block.dtype).eps
-        margin = slack * (self.norms * reach if self.metric == "ip" else (self.norms + reach) ** 2)
-        pairs, scores = [], []
+        block, queries, squares, margin = self._operands(vectors, self.wide)
+        loose = margin  # holds for all scores of this block
+        pairs, scores, held, room = [], [], 0, max(_PAIRS, 2 * len(self.queries) * self.k)
         for q_rows, v_rows in groups or [(np.arange(len(self.queries)), None)]:
             part, part_squares = (block, squares) if v_rows is None else (block[v_rows], squares[v_rows])
             for at in range(0, len(q_rows), _QUERY_BLOCK):
                 some = q_rows[at : at + _QUERY_BLOCK]
+                many = 4 * self.k * len(some)
                 at_q, at_v, near = self._candidates(some, queries[some], part, part_squares, margin[some])
-                pairs.append(some[at_q] * n + (at_v if v_rows is None else v_rows[at_v]))
+                if len(near) > many and block.dtype == np.float32:
+                    # Vectors nearer to each other than single precision can tell: double precision from here on.
+                    self.wide = True
+                    block, queries, squares, margin = self._operands(vectors, True)
+                    part, part_squares = (block, squares) if v_rows is None else (block[v_rows], squares[v_rows])
+                    at_q, at_v, near = self._candidates(some, queries[some], part, part_squares, margin[some])
+                if v_rows is not None:
+                    at_v = v_rows[at_v]
+                if len(near) > many:  # ties
+                    stay = self._exact_best(at_q, some[at_q], at_v, vec_ids, vectors)
+                    at_q, at_v, near = at_q[stay], at_v[stay], near[stay]
+                pairs.append(some[at_q] * n + at_v)
                 scores.append(near)
-        if groups is None:
+                held += len(near)
+                if held > room:
+                    if groups is None:  # no other part of the loop has these queries
+                        self._score(np.concatenate(pairs), n, vec_ids, vectors)
+                        pairs, scores, held = [], [], 0
+                    else:
+                        pair, near = self._narrowed(np.concatenate(pairs), np.concatenate(scores), n, loose)
+                        if 2 * len(pair) > room:
+                            stay = self._exact_best(pair // n, pair // n, pair % n, vec_ids, vectors)
+                            pair, near = pair[stay], near[stay]
+                            self.wide = True
+                        pairs, scores, held = [pair], [near], len(pair)
+        if pairs:
             pair = np.concatenate(pairs)
-        else:
-            pair = self._narrowed(np.concatenate(pairs), np.concatenate(scores), n, margin)
+            if groups is not None:
+                pair, _ = self._narrowed(pair, np.concatenate(scores), n, loose)
+            self._score(pair, n, vec_ids, vectors)
+
+    def _operands(self, vectors, wide: bool):
+        """Vectors and queries in the precision of the scores, the vectors' squares and each query's margin of error."""
+        block, queries = vectors.astype(np.float32, copy=False), self.single
+        squares = np.einsum("ij,ij->i", block, block)
+        if wide or not (self.in_range and _SINGLE_LOW < squares.max() < _SINGLE_HIGH):
+            block, queries = vectors.astype(np.float64), self.queries
+            squares = np.einsum("ij,ij->i", block, block)
+        # Product and exact sum are both within dim * eps * |q||v| of the true value.
+        reach = float(np.sqrt(squares.max()))
+        slack = 4.0 * (vectors.shape[1] + 4) * np.finfo(block.dtype).eps
+        return block, queries, squares, slack * (self.norms * reach if self.metric == "ip" else (self.norms + reach) ** 2)
+
+    def _score(self, pair, n, vec_ids, vectors) -> None:
         if len(pair):
             q, v = pair // n, pair % n
             self.merge(q, exact_keys(self.queries, q, vectors, v, self.metric), vec_ids[v])
 
+    def _exact_best(self, runs, q, v, vec_ids, vectors) -> np.ndarray:
+        """Positions of the best k pairs of each run, ties to the smaller id; about ``_PAIRS`` pairs at once."""
+        kept, at = [], 0
+        while at < len(runs):
+            end = int(np.searchsorted(runs, runs[min(at + _PAIRS, len(runs)) - 1], side="right"))
+            keys = exact_keys(self.queries, q[at:end], vectors, v[at:end], self.metric)
+            order = np.lexsort((vec_ids[v[at:end]], -keys, runs[at:end]))
+            kept.append(at + order[_rank_in_runs(runs[at:end][order]) < self.k])
+            at = end
+        return np.sort(np.concatenate(kept))
+
     def _candidates(self, rows, queries, block, squares, margin):
         """Pairs that may be among the best k, with their approximate scores."""
         scores = queries @ block.T
@@ -183,7 +228,7 @@ class BlockTopK:
     def _below(floor: np.ndarray, kind) -> np.ndarray:
         return np.nextafter(floor.astype(kind), kind.type(-np.inf))[:, None]
 
-    def _narrowed(self, pairs, scores, n, margin) -> np.ndarray:
+    def _narrowed(self, pairs, scores, n, margin) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of several groups: each pair once, and against each query's k-th over all."""
         pairs, first = np.unique(pairs, return_index=True)
         scores = scores[first].astype(np.float64)
@@ -192,7 +237,8 @@ class BlockTopK:
         full = order[_rank_in_runs(q[order]) == self.k - 1]
         floor = np.full(len(self.queries), -np.inf)
         floor[q[full]] = scores[full] - 2.0 * margin[q[full]]
-        return pairs[scores >= floor[q]]
+        stay = scores >= floor[q]
+        return pairs[stay], scores[stay]
 
     def merge(self, q, keys, ids) -> None:
         q = np.concatenate([self.best_q, q])
@@ -222,7 +268,8 @@ class Probes:
         self.queries = full_matrix(table["qv"])
         self.parts: dict[int, np.ndarray] | None = None
         if "parts" in table.column_names:
-            self.parts = dict(_by_part(table["parts"].combine_chunks(), np.arange(table.num_rows)))
+            # Every task holds the positions of a pass: of half the width, and apart from the array they were cut from.
+            self.parts = {p: at.astype(np.int32) for p, at in _by_part(table["parts"].combine_chunks(), np.arange(table.num_rows))}
 
 
 def _by_part(parts: pa.Array, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -325,7 +372,7 @@ def _scan(blocks: list[Probes], vectors: DataFrame, k: int, metric: str, dim: in
                     if members is None:
                         best.add(ids, values)
                         continue
-                    groups = [(visits[part], where) for part, where in members if part in visits]
+                    groups = [(visits[part].astype(np.int64), where) for part, where in members if part in visits]
                     if groups:
                         best.add(ids, values, groups)
         for best, _ in sets:

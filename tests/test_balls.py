@@ -1,5 +1,7 @@
 """Ball search against the full scan, and its pruning."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -65,6 +67,27 @@ def test_bounds_never_exclude_a_holder():
         assert not balls.may_hold(queries, (np.sqrt(((queries - centre) ** 2).sum(axis=1)) - far.max()).clip(0) * 0.99, row).all()
 
 
+def test_bounds_are_computed_for_some_queries_at_a_time():
+    rng = np.random.default_rng(7)
+    queries, centres = np.hstack([rng.normal(size=(6000, 4)), np.full((6000, 1), 0.5)]), rng.normal(size=(300, 4))
+    radius = np.full(300, 0.3)
+    table = pa.RecordBatch.from_pydict({"ball": np.arange(300, dtype=np.int32), "c": centres.tolist(), "inner": 0 * radius, "outer": radius, "n": np.arange(300)})
+    ids = 10 * np.arange(6000)
+    tracemalloc.start()
+    got = set()
+    for batch in balls._holders([(ids[:5500], queries[:5500]), (ids[5500:], queries[5500:])], table):
+        got.update(zip(batch["query_id"].to_pylist(), batch["ball"].to_pylist(), batch["n"].to_pylist()))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    for _ in balls._holders([(ids, queries)], table):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    flags = balls.may_hold(queries[:, :-1], queries[:, -1], table)
+    assert got == {(10 * q, b, b) for q, b in np.argwhere(flags).tolist()}
+    assert peak < 40 << 20  # all queries at once: a dozen arrays of 12 MB
+
+
 def test_balls_of_nothing(spark, tmp_path):
     vectors, asked = clustered(spark, n=30)
     index, table = built(vectors, tmp_path / "b", nlist=2)

@@ -1,9 +1,13 @@
 """The block kernel against plain NumPy, without Spark."""
 
+import tracemalloc
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillvec.operators import blockscan
 from quillvec.operators.blockscan import BlockTopK, exact_keys
 from quillvec.operators.ivf import best_rows
 from quillvec.sources.randoms import normal_matrix
@@ -68,6 +72,54 @@ def test_overlapping_groups_count_a_pair_once(seed, n, k, parts, metric):
     assert found(best) == brute(queries, vectors, ids, k, metric, allowed)
 
 
+def close_clusters(rng, n, dim, spread):
+    """Far apart clusters whose vectors lie nearer to each other than single precision can tell."""
+    label = rng.integers(0, 4, n)
+    return label, 30.0 * rng.standard_normal((4, dim))[label] + spread * rng.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+@pytest.mark.parametrize("rows", [60, 4000])  # of a group: fewer than single precision leaves anyway, or all
+def test_close_vectors_of_far_clusters_fill_no_memory(grouped, rows):
+    rng = np.random.default_rng(3)
+    label, vectors = close_clusters(rng, 4000, 16, 0.001)
+    ids, k = rng.permutation(4000).astype(np.int64), 20
+    queries, of = vectors[:2000], label[:2000]
+    groups = [(np.flatnonzero(of == c), some) for c in range(4) for some in np.array_split(np.flatnonzero(label == c), max(1, 1000 // rows))]
+    best = BlockTopK(np.arange(2000), queries, k, "l2")
+    tracemalloc.start()
+    best.add(ids, vectors, groups if grouped else None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = np.arange(0, 2000, 100)
+    want = brute(queries[some], vectors, ids, k, "l2", label[None, :] == of[some, None] if grouped else np.ones((20, 4000), bool))
+    assert [(some[q], i, key) for q, i, key in want] == [x for x in found(best) if x[0] % 100 == 0]
+    assert peak < 48 << 20
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_cut_candidates_give_the_exact_answer(monkeypatch, metric):
+    monkeypatch.setattr(blockscan, "_PAIRS", 16)
+    monkeypatch.setattr(blockscan, "_QUERY_BLOCK", 3)
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        n, nq, k = rng.integers(1, 80), rng.integers(1, 9), int(rng.integers(1, 6))
+        vectors = close_clusters(rng, n, 3, rng.choice([0.0, 1e-4, 1.0]))[1]
+        queries = close_clusters(rng, nq, 3, 1.0)[1] if seed % 2 else vectors[rng.integers(0, n, nq)]
+        ids, allowed = rng.integers(0, 200, n), np.zeros((nq, n), bool)
+        best = BlockTopK(np.arange(nq), queries, k, metric)
+        for rows in np.array_split(np.arange(n), 2):
+            groups = [(np.flatnonzero(rng.random(nq) < 0.7), np.flatnonzero(rng.random(len(rows)) < 0.7)) for _ in range(4)]
+            groups = [(q, v) for q, v in groups if len(q) and len(v)] if seed % 3 else None
+            if groups is None:
+                allowed[:, rows] = True
+            for q, v in groups or []:
+                allowed[np.ix_(q, rows[v])] = True
+            if groups is None or groups:
+                best.add(ids[rows], vectors[rows], groups)
+        assert found(best) == brute(queries, vectors, ids, k, metric, allowed)
+
+
 @settings(max_examples=100, deadline=None)
 @given(seed=st.integers(0, 10**6), n=st.integers(1, 30), cells=st.integers(1, 9))
 def test_best_cell_is_the_first_of_the_exact_maxima(seed, n, cells):
