@@ -125,10 +125,11 @@ class Numbers:
 class WordIds:
     """Ids of pre-tokens; each distinct one is encoded once while the cache holds it."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str | None, rules: str | None = None) -> None:
+        """``rules`` is the text of a tokenizers JSON file, for tasks that cannot open its path."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(rules) if path is None else Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # pre-tokens hold none, see __call__
         self.marks = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = PreTokens()
@@ -158,11 +159,16 @@ class WordIds:
         self.used += total
         self.known.add(hashes)
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, offset of each row). A row with one of the tokenizer's added tokens is the library's alone."""
+    def marked(self, column: pa.Array) -> np.ndarray:
+        """Flags the rows that spell an added token."""
         marked = np.zeros(len(column), bool)
         for mark in self.marks:
             marked |= pc.fill_null(pc.match_substring(column, mark), False).to_numpy(zero_copy_only=False)
+        return marked
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offset of each row). A row with one of the tokenizer's added tokens is the library's alone."""
+        marked = self.marked(column)
         if not marked.any():
             return self._plain(column)
         ids, offsets = self._plain(pc.if_else(pa.array(marked), pa.scalar(None, column.type), column))
@@ -175,8 +181,9 @@ class WordIds:
         sizes[rows] = [len(w) for w in whole]
         return np.insert(ids, at, np.concatenate(whole)), np.concatenate([[0], np.cumsum(sizes)])
 
-    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        out, counts = [], np.zeros(len(column), np.int64)
+    def words(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, row of each pre-token from there, bytes, byte starts, byte ends, numbers), piece by piece; the numbers
+        hold until the next piece. No row may have an added token."""
         for row, of, text, starts, ends, hashes in self.splitter.pieces(column):
             if self.known.count > CACHE_WORDS:
                 self.clear()
@@ -190,7 +197,11 @@ class WordIds:
                 words = [body[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[new].tolist()]
                 numbers[new] = self.known.count + np.arange(len(new))
                 self._learn(values[new], words)
-            word = numbers[codes]
+            yield row, of, text, starts, ends, numbers[codes]
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        out, counts = [], np.zeros(len(column), np.int64)
+        for row, of, _, _, _, word in self.words(column):
             sizes = self.sizes[word]
             out.append(self.ids[runs(self.starts[word], sizes)])
             if len(of):
