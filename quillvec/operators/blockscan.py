@@ -10,6 +10,9 @@ Within a block a single-precision matrix product selects candidates with a prove
 only those are scored exactly, as a left-to-right DOUBLE sum. Scores are therefore the same bits
 as the native expressions in ``functions.vector``, whatever the batching.
 
+Where the margin leaves too many, a task goes on with a double-precision product; what still ties is cut to the best k by
+exact scores. Gathered candidates never exceed a fixed number or twice the answer.
+
 Vectors of another dimension, and vectors with null or non-finite components, stop a search. With
 ``on_unusable="skip"`` they are passed over; ``unusable_vectors`` lists them.
 """
